@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ready
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -45,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
 def token_estimate(text: Column) -> Column:
     """Four bytes a token, rounded up: the usual size estimate when no exact count is at hand. Null for null."""
     return F.ceil(F.octet_length(text) / 4).cast("long")
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path."""
+    ready(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Vectorised byte kernels over Arrow string columns.
 
-Every kernel works on whole texts. ``pieces`` cuts a column into runs of documents of about ``PIECE``
-bytes so that intermediate arrays stay in cache; a document is never cut.
+Every kernel works on whole texts. ``pieces`` cuts a column into runs of at most 1024 documents and about
+``PIECE`` bytes so that intermediate arrays stay in cache; a document is never cut.
 """
 
 from __future__ import annotations
@@ -48,13 +48,13 @@ def string_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows."""
     raw, offsets = string_parts(column)
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + rows)
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import token_estimate
+from .common import map_batches, token_estimate
 
 SCHEMA = "shard int, bin long, bin_offset int, doc_id long, piece int, start long, n_tokens int"
 ARROW = pa.schema([("shard", pa.int32()), ("bin", pa.int64()), ("bin_offset", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
@@ -91,4 +91,4 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, docs_per_sh
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
 
-    return sized.repartition("shard").sortWithinPartitions("shard", "doc_id", "n").mapInArrow(run, SCHEMA)
+    return map_batches(sized.repartition("shard").sortWithinPartitions("shard", "doc_id", "n"), run, SCHEMA)
