@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, minhash, mixing, packing, token_counts
+from . import fingerprints, licenses, line_dedup, minhash, mixing, packing, pii, quality, token_counts, topk
 from .common import read
 
 
@@ -30,10 +30,32 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
+def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -43,10 +65,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_token_counts,
             op4_source_mixing,
             op5_document_fingerprints,
+            op6_quality_classifier,
+            op7_exact_topk_search,
+            op8_license_scans,
+            op9_pii,
             op10_minhash_near_dedup,
+            pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_source_mixing": mixing.ORACLE}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op4_source_mixing": mixing.ORACLE,
+        "op7_exact_topk_search": topk.ORACLE,
+        "op8_license_scans": licenses.ORACLE,
+    }
