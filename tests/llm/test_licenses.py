@@ -9,7 +9,7 @@ from .conftest import edge_rows
 def brute(rows, templates, threshold):
     sets = L.template_sets(templates)
     out = set()
-    for i, text in rows:
+    for i, text, *_ in rows:
         for n, line in enumerate((text if text is not None else "").split("\n") if text is not None else []):
             words = {w for w in L.re.split(L.BREAK, line.lower()) if w}
             for name, t in sets.items():

@@ -14,7 +14,7 @@ from .conftest import edge_rows
 def brute(docs, queries, k, k1=1.5, b=0.75):
     """Scores every pair."""
     words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
-    docs = [(i, words(t)) for i, t in docs if i is not None and t is not None]
+    docs = [(i, words(t)) for i, t, *_ in docs if i is not None and t is not None]
     n, average = len(docs), sum(len(w) for _, w in docs) / max(1, len(docs))
     df = Counter(w for _, ws in docs for w in set(ws))
     out = []
