@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .kernels import U64, mix, pieces, span_hashes, sums, words
+from .kernels import U64, WORD, mix, pieces, span_hashes, sums, words
 
 BITS = 16
 SAMPLE = 4000
@@ -24,18 +24,21 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
-# (measure, good if at or below, bad if at or above); between them a labeller abstains
+# (measure, good if at or below, bad if at or above); else a labeller abstains. That one kind of junk is absent says little
+# about the others, so most only ever vote bad; each kind is seen by two of them at least.
 LABELLERS = (
-    ("symbols", 0.004, 0.02),  # share of bytes
-    ("upper", 0.10, 0.25),  # share of letters
-    ("repeats", 0.01, 0.15),  # share of words that repeat the one before
-    ("bars", 0.0, 0.02),  # table bars a word
-    ("shouts", 0.0, 0.03),  # exclamation marks a word
+    ("symbols", -1.0, 0.02),  # share of bytes
+    ("upper", -1.0, 0.25),  # share of letters
+    ("repeats", -1.0, 0.15),  # share of words that repeat the one before
+    ("bars", -1.0, 0.02),  # table bars a word
+    ("shouts", -1.0, 0.05),  # exclamation marks a word
     ("run", 24.0, 60.0),  # words a full stop
-    ("sameness", 0.6, 0.85),  # share of words that occurred before in the text
-    ("marked", 0.25, 0.5),  # share of words that a symbol, bar or exclamation mark follows, with any
+    ("sameness", -1.0, 0.6),  # share of word pairs that occurred before in the text
+    ("marked", -1.0, 0.25),  # share of words that a symbol or exclamation mark follows
+    ("loose", -1.0, 0.15),  # single marks between blanks a word
 )
 NAMES = tuple(n for n, _, _ in LABELLERS)
+ACCUSED = 0.01  # a labeller votes bad on at most this share of good documents
 
 
 def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -47,11 +50,19 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(n_words)), n_words)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    key = row.astype(U64) << U64(54) | h >> U64(10)
+    pair = np.zeros(len(h), U64)
+    pair[:-1] = mix(h[:-1] * U64(3) + h[1:])[: len(h) - 1] if len(h) else pair[:-1]
+    inner = np.ones(len(h), bool)
+    inner[first[1:][n_words > 0] - 1] = False
+    key = row[inner].astype(U64) << U64(54) | pair[inner] >> U64(10)
     key.sort()
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     distinct = np.bincount((key[new] >> U64(54)).astype(np.int64), minlength=len(n_words))
+    blank = raw <= 32
+    alone = np.zeros(len(raw), bool)
+    if len(raw) > 2:
+        alone[1:-1] = blank[:-2] & blank[2:] & ~blank[1:-1] & ~WORD[raw[1:-1]]
     symbol, bar, shout = _SYMBOL[raw], raw == ord("|"), raw == ord("!")
     letters = sums(_LETTER[raw], offsets)
     accented = np.zeros(len(raw), bool)
@@ -68,8 +79,9 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             sums(bar, offsets) / w,
             sums(shout, offsets) / w,
             n_words / (sums((raw == 46) | (raw == 63), offsets) + 1),
-            1 - distinct / w,
+            1 - distinct / np.maximum(n_words - 1, 1),
             sums(odd, first) / w,
+            sums(alone, offsets) / w,
         ]
     )
     out[n_words < 5] = np.nan
@@ -103,9 +115,13 @@ class LabelModel:
 
 
 def expectation_maximisation(v: np.ndarray, count: np.ndarray, rounds: int = 100) -> LabelModel:
-    """Fitted to vote patterns v with their counts; starts with labellers that are right 3 times in 4 when they vote, and stays near that where votes are few."""
+    """Fitted to vote patterns v with their counts.
+
+    Starts with labellers that see a third of the bad documents and accuse few good ones, and stays near that where votes are few.
+    Without the bound ``ACCUSED`` the likeliest two classes could be one kind of junk and all the rest.
+    """
     m = v.shape[1]
-    pseudo = np.tile(np.array([[3.0, 1.0, 1.0], [1.0, 1.0, 3.0]]), (m, 1, 1))
+    pseudo = np.tile(np.array([[3.0, 4.0, 3.0], [0.1, 4.9, 5.0]]), (m, 1, 1))
     model = LabelModel(0.7, pseudo / pseudo.sum(2, keepdims=True))
     for _ in range(rounds):
         good = model.posterior(v)
@@ -113,7 +129,11 @@ def expectation_maximisation(v: np.ndarray, count: np.ndarray, rounds: int = 100
         for y, p in enumerate((1 - good, good)):
             for k in range(3):
                 table[:, y, k] += (v == k).T @ (p * count)
-        new = LabelModel(float((good @ count + 7) / (count.sum() + 10)), table / table.sum(2, keepdims=True))
+        table /= table.sum(2, keepdims=True)
+        over = table[:, 1, 0] > ACCUSED
+        table[over, 1, 1:] *= ((1 - ACCUSED) / (1 - table[over, 1, 0]))[:, None]
+        table[over, 1, 0] = ACCUSED
+        new = LabelModel(float((good @ count + 7) / (count.sum() + 10)), table)
         done = abs(new.prior - model.prior) < 1e-9 and np.abs(new.table - model.table).max() < 1e-7
         model = new
         if done:
@@ -130,6 +150,7 @@ _BINS = (
     (6.0, 12.0, 24.0, 40.0, 60.0, 100.0, 200.0),
     (0.1, 0.25, 0.4, 0.6, 0.75, 0.85, 0.95),
     (0.0, 0.02, 0.1, 0.25, 0.5, 0.75, 0.9),
+    (0.0, 0.01, 0.05, 0.15, 0.3, 0.6, 0.9),
 )
 
 
@@ -220,7 +241,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[LabelMode
 def classify(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT, columns: list[str] | None = None) -> DataFrame:
     """The documents that the classifier keeps: ``columns`` (doc_id alone, if not given) and score, the probability of good quality.
 
-    Eight heuristic labellers vote good, bad or abstain on each document, over its whole text. Expectation-maximisation over the
+    Heuristic labellers vote good, bad or abstain on each document, over its whole text. Expectation-maximisation over the
     counts of all vote patterns of the corpus estimates how the labellers err and with that each document's posterior. On
     about ``sample`` documents (the documented bound: a fixed number whatever the corpus) the posteriors train a linear
     scorer over hashed byte triples and binned measures; it scores every document. Kept is what scores ``cut`` or more.

@@ -201,9 +201,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
         rows.append((row.id, row.text))
         if len(rows) == queries_per_pass:
             found, rows = (batch(rows) if found is None else found.unionByName(batch(rows))), []
-    if rows or found is None:
+    if rows:
         found = batch(rows) if found is None else found.unionByName(batch(rows))
-    return found
+    return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, rank int, doc_id long, score double") if found is None else found
 
 
 ORACLE = r"""
