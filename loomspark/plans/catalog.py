@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES: list[str] = ["tabular"]
 
 
 def _all(kind: str) -> dict:
