@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["tabular"]
+MODULES: list[str] = ["tabular", "texts", "search"]
 
 
 def _all(kind: str) -> dict:
