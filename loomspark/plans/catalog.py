@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["tabular", "texts", "search", "learning", "places"]
+MODULES: list[str] = ["tabular", "texts", "search", "learning", "places", "tools"]
 
 
 def _all(kind: str) -> dict:
