@@ -38,8 +38,8 @@ def jsonl_documents(spark: SparkSession, path: str, text_field: str = "text", id
 
 def directory_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md")) -> DataFrame:
     """Every file below a folder with one of the extensions; id file: and the path's md5; blank files are dropped."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
-    files = reader.text(path).select("*", F.col("_metadata.file_path").alias("path"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = reader.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("path"))
     d = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]) & (F.trim("value") != ""))
     return d.select(F.concat(F.lit("file:"), F.md5("path")).alias("id"), F.col("value").alias("text"), F.create_map(F.lit("path"), F.col("path")).alias("metadata"))
 
@@ -107,7 +107,7 @@ def source_file(spark: SparkSession, path: str, allowed: list[str] | None = None
         lines = d.select(F.monotonically_increasing_id().alias("i"), cells.alias("line"))
         text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
     elif kind in ("txt", "md", "json"):
-        text = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+        text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
         if kind == "json":
             text = text.select(flatten_json(F.col("text")).alias("text"))
     else:
