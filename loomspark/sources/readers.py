@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DOCUMENT = "id string, text string, metadata map<string,string>"
 
@@ -68,11 +71,6 @@ def text_documents(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 def flatten_json(text: Column) -> Column:
     """'path: value' lines of a JSON text."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         def lines(x, at=""):
