@@ -149,14 +149,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _compared(pairs: DataFrame, sigs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """a, b of the pairs whose signatures agree in ``threshold`` of their coordinates at least."""
+    left, right = (sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
+    return _agreement(pairs.join(left, "a").join(right, "b"), k).where(F.col("similarity") >= threshold).select("a", "b")
+
+
+def _left_open(keys: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b: all pairs that meet in a band and aren't in one group yet; of documents with equal signatures the least stands for all.
+
+    Only bands that hold several groups are looked at, so what is joined here is the chance meetings of different groups.
+    """
+    own = keys.join(roots, keys.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = written(own.join(mixed, "key"))
+    first = sigs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rest = rest.join(first, "doc_id", "left_semi")
+    a, b = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    return a.join(b, "key").where("ra < rb").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 128, bands: int = 32, threshold: float = 0.62) -> DataFrame:
     """doc_id, duplicate_of for every document that has a near duplicate of lesser doc_id; duplicate_of is its group's least doc_id.
 
     Similarity is the weighted Jaccard of word pairs, weights 1 + ln(count), estimated from k DartMinHash coordinates. Documents
-    meet in any of ``bands`` bands: there each is held against the least doc_id and against its predecessor, so that a
-    group of any size costs two comparisons a document and band; pairs whose estimate reaches ``threshold`` are joined
-    and groups are connected components. The threshold lies below the 0.7 that counts as a near duplicate by about two
-    standard errors, to keep recall.
+    that meet in any of ``bands`` bands are candidates; candidates whose estimate reaches ``threshold`` are joined, and groups
+    are the connected components of all of these, exactly. First each document of a band is held against the band's least doc_id
+    and against its predecessor, which joins a group of any size at two comparisons a document and band; then all candidates
+    that are still in different groups are compared, so no pair that could join two groups is left out. The
+    threshold lies below the 0.7 that counts as a near duplicate by about two standard errors, to keep recall.
 
     A null doc_id, and null text or text without words: not compared, no row. Rows with the same doc_id are one document. No
     documents, or no duplicates: no rows. Other columns are ignored.
@@ -172,9 +193,11 @@ def near_duplicates(docs: DataFrame, k: int = 128, bands: int = 32, threshold: f
         F.lag("doc_id").over(w).alias("last"),
     ).where("last is not null")
     pairs = meets.select("a", F.explode(F.array_distinct(F.array("least", "last"))).alias("b")).where("a <> b").distinct()
-    left, right = (sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}")) for x in ("a", "b"))
-    near = _agreement(pairs.join(left, "a").join(right, "b"), k).where(F.col("similarity") >= threshold).select("a", "b")
-    return components(near).select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    roots = components(_compared(pairs, sigs, k, threshold))
+    more = written(_compared(_left_open(keys, roots, sigs), sigs, k, threshold))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:

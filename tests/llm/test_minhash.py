@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from loomspark.llm.kernels import string_parts
-from loomspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, weighted_pairs
+from loomspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, signatures, weighted_pairs
 
 from .conftest import edge_rows
 
@@ -72,6 +72,34 @@ def test_recall_and_groups(documents):
     assert kept == [i for i in range(n) if root[i] == i]
 
 
+def test_all_candidates_count(spark, documents):
+    """Against the components of all pairs that share a band and agree enough, compared one by one."""
+    r = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):  # many pairs near the threshold, which the first comparisons miss
+        base = rows[r.randrange(len(rows))][1].split() if i > 20 else [r.choice(vocabulary) for _ in range(40)]
+        rows.append((i, " ".join(r.choice(vocabulary) if r.random() < 0.12 else w for w in base)))
+    rows += [(200 + i, rows[i][1]) for i in range(10)]
+    k, bands, threshold = 64, 32, 0.5
+    sig = {x.doc_id: np.frombuffer(x.sig, np.uint32) for x in signatures(documents(rows), k).collect()}
+    root = {i: i for i in sig}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sig:
+        for j in sig:
+            same = sig[i] == sig[j]
+            if i < j and same.reshape(bands, -1).all(1).any() and same.mean() >= threshold:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in sig if find(i) != i}
+    assert {x.doc_id: x.duplicate_of for x in near_duplicates(documents(rows), k, bands, threshold).collect()} == want and len(set(want.values())) > 3
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 103), (103, 101), (7, 7)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
