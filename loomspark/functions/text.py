@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -83,11 +84,14 @@ def normalize_unicode(text, form: str = "NFC") -> Column:
     return _nfc(_col(text), F.lit(form))
 
 
+_MARKS = regex.compile(r"\p{Mn}+")
+
+
 def plain(t: str) -> str:
     """Without accents: decomposed, marks dropped, composed."""
     if t.isascii():
         return t
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", t)))
 
 
 @F.pandas_udf(StringType())

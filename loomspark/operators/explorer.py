@@ -195,9 +195,8 @@ class Explorer:
 
     def _chunk(self, sources: DataFrame) -> DataFrame:
         size = self.size
-        cut = R.split_text(sources, "doc_id", "text", size, min(self.overlap, size - 1), trim=False)
-        cut = cut.where("trim(text) <> ''").join(sources.select("doc_id", "source", "tag", "date"), "doc_id")
-        return cut.select("doc_id", "id", "chunk", "start", (F.col("start") + F.length("text")).alias("end"), "text", "source", "tag", "date")
+        cut = R.split_text(sources, "doc_id", "text", size, min(self.overlap, size - 1), trim=False, keep=("source", "tag", "date"))
+        return cut.where("trim(text) <> ''").select("doc_id", "id", "chunk", "start", (F.col("start") + F.length("text")).alias("end"), "text", "source", "tag", "date")
 
     @property
     def chunks(self) -> DataFrame:

@@ -6,18 +6,23 @@ for the k best rows. Batches of queries are tables and go through postings joins
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..functions import vectors as V
 
 TERM = r"[\p{L}\p{N}]+"
 ASCII_TERM = "[a-z0-9]+"
+_PIECE = re.compile(r"\S+", re.ASCII)
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", pattern: str = TERM) -> DataFrame:
@@ -58,15 +63,26 @@ def hashing_vectorize(docs: DataFrame, key: str, text: str = "text", dim: int =
 
 
 def hash_embed(docs: DataFrame, key: str, text: str = "text", dim: int = 32) -> DataFrame:
-    """key, vector: the sum over words of the bytes of their md5 (byte i mod 16 at i), with length 1; zeros for no words."""
+    """key, vector: the sum over words of the bytes of their md5 (byte i mod 16 at i), with length 1; zeros for no words or null.
+
+    A text stays in its row: each Arrow batch hashes its distinct words once, and nothing is shuffled.
+    """
     if dim < 4:
         raise ValueError("dim must be 4 at least")
-    words = docs.select(key, F.explode_outer(T.pieces(text)).alias("w")).select(key, F.md5("w").alias("m"))
-    byte = lambda i: F.coalesce(F.conv(F.substring("m", 2 * i + 1, 2), 16, 10).cast("double") / 255, F.lit(0.0))
-    sums = words.groupBy(key).agg(*[F.sum(byte(i)).alias(f"_{i}") for i in range(min(16, dim))])
-    v = F.array(*[F.col(f"_{i % 16}") for i in range(dim)])
-    size = F.greatest(F.lit(1e-12), V.norm(v))
-    return sums.select(key, F.transform(v, lambda x: x / size).alias("vector"))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(s: pd.Series) -> pd.Series:
+        numbers: dict[str, int] = {}
+        rows = [[numbers.setdefault(w, len(numbers)) for w in _PIECE.findall(t or "")] for t in s]
+        bytes_of = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in numbers), np.uint8).reshape(-1, 16).astype(np.int64)
+        at = np.arange(dim) % 16
+        out = []
+        for r in rows:
+            v = (bytes_of[r].sum(0) if r else np.zeros(16))[at] / 255
+            out.append(v / max(1e-12, float(np.sqrt((v * v).sum()))))
+        return pd.Series(out)
+
+    return docs.select(key, embed(F.col(text)).alias("vector"))
 
 
 def _tf(tokens: Column, term: str) -> Column:
@@ -98,11 +114,12 @@ def bm25_search(docs: DataFrame, key: str, query: str, k: int = 10, k1: float =
 
 def bm25_search_many(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 10, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
     """query_key, rank, key, score for a table of queries (query_key, text), through postings; documents that share no term are left out."""
-    tf = term_counts(docs, key, text)
     length = docs.select(key, F.size(T.lower_words(F.coalesce(F.col(text), F.lit("")), TERM)).alias("dl"))
     n, average = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
     wanted = queries.select(query_key, F.explode(T.lower_words("text", TERM)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    # words of no query go before anything is counted or shuffled by document
+    said = docs.select(key, F.explode(T.lower_words(text, TERM)).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = said.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (average or 1.0)))
@@ -123,15 +140,15 @@ def chunk_words(docs: DataFrame, key: str, text: str = "text", size: int = 120,
     return d.select(key, F.posexplode(cut).alias("chunk", "text"))
 
 
-def split_text(docs: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 120, trim: bool = True) -> DataFrame:
-    """key, chunk, id (key#chunk-n), start, text: character windows; one that holds only overlap is kept too. Blank texts give none."""
+def split_text(docs: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 120, trim: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, chunk, id (key#chunk-n), start, text, and the columns ``keep``: character windows; one that holds only overlap is kept too. Blank texts give none."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need size > 0 and 0 <= overlap < size")
     step = size - overlap
     body = F.trim(text) if trim else F.col(text)
-    d = docs.select(key, body.alias("_t")).where("trim(_t) <> ''")
-    at = d.select(key, "_t", F.posexplode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(step))).alias("chunk", "start"))
-    return at.select(key, "chunk", F.concat(F.col(key).cast("string"), F.lit("#chunk-"), F.col("chunk").cast("string")).alias("id"), "start", F.substr("_t", F.col("start") + 1, F.lit(size)).alias("text"))
+    d = docs.select(key, *keep, body.alias("_t")).where("trim(_t) <> ''")
+    at = d.select(key, *keep, "_t", F.posexplode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(step))).alias("chunk", "start"))
+    return at.select(key, "chunk", F.concat(F.col(key).cast("string"), F.lit("#chunk-"), F.col("chunk").cast("string")).alias("id"), "start", F.substr("_t", F.col("start") + 1, F.lit(size)).alias("text"), *keep)
 
 
 def cosine_search(items: DataFrame, query: list[float], k: int = 5, filters: dict | None = None, vector: str = "vector", key: str = "id") -> DataFrame:
@@ -249,8 +266,6 @@ class QaChain:
 
 def remote_embed(texts: DataFrame, post: Callable[[list[str]], list[list[float]]], key: str = "id", text: str = "text", batch: int = 64) -> DataFrame:
     """key, vector from an injected transport that embeds a list of texts; nulls count as empty texts."""
-    import pandas as pd
-
     kind = texts.schema[key].dataType.simpleString()
 
     def run(parts):
