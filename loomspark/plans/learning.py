@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as L
 from ..operators import selection as S
+from ..operators.sentiment import SentimentAnalyzer
 from ..operators.ordering import draw_sql
 from ..operators.splits import k_fold
 from .tabular import _SCORED, _scored, r6, read
@@ -107,7 +108,14 @@ def permutation(spark, sf):
     return S.permutation_importance(m, v, 1).select("feature", r6("importance").alias("importance"))
 
 
-QUERIES = {f.__name__: f for f in (knn_predict, knn_neighbours, gnb_fit, gnb_predict, linreg_fit, linreg_predict, logreg_predict, forest_classify, forest_regress, mlp_predict, kmeans_assign, calibrated_predict, cross_val_nb, grid_search_regressor, threshold_tune, permutation)}
+def sentiment_predict(spark, sf):
+    """The quality labels as two sentiments, learned from a sample and applied to every document."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    known = d.join(read(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")), "row_id")
+    return SentimentAnalyzer(5.0, 100).fit(known).predict(d).select("row_id", "prediction", r6("score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (knn_predict, knn_neighbours, gnb_fit, gnb_predict, linreg_fit, linreg_predict, logreg_predict, forest_classify, forest_regress, mlp_predict, kmeans_assign, calibrated_predict, cross_val_nb, grid_search_regressor, threshold_tune, permutation, sentiment_predict)}
 
 _E = "e as (select vec_id as row_id, label, cast(embedding as double[]) v from embeddings)"
 _NEAR = f"""{_E}, d as (select a.row_id, b.row_id as neighbour, b.label, list_distance(a.v, b.v) dist from e a join e b on a.row_id <> b.row_id),

@@ -141,3 +141,20 @@ def integrity(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     want = spark.createDataFrame([(n,) for n in names], "name string")
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha1("content").alias("sha1"))
     return want.join(files, "name", "left").select("name", F.col("sha1").isNotNull().alias("exists"), "size", "sha1")
+
+
+def geo_tables(spark: SparkSession, countries_with_states: str, countries: str, cities: str):
+    """The tables of ``operators.geo`` from three JSON arrays: countries with their states, countries with latlng, cities (numbers may be text)."""
+    from ..operators.geo import Geo
+
+    c = json_table(spark, countries_with_states, "name string, iso2 string, iso3 string, phone_code string, states array<struct<name:string,state_code:string>>")
+    places = json_table(spark, countries, "cca2 string, name struct<common:string>, latlng array<double>")
+    town = json_table(spark, cities, "name string, country_code string, state_code string, latitude string, longitude string")
+    text = lambda x: F.coalesce(F.col(x), F.lit("")).alias(x)
+    number = lambda x, n: F.coalesce(F.expr(f"try_cast({x} as double)"), F.lit(0.0)).alias(n)
+    return Geo(
+        c.select(text("name"), text("iso2"), text("iso3"), text("phone_code")),
+        c.select(F.col("iso2"), F.explode("states").alias("s")).select("s.name", F.coalesce("s.state_code", F.lit("")).alias("state_code"), "iso2"),
+        places.where("size(latlng) >= 2").select("cca2", F.col("name.common").alias("name"), F.col("latlng")[0].alias("lat"), F.col("latlng")[1].alias("lon")),
+        town.select(F.monotonically_increasing_id().alias("city_id"), text("name"), text("country_code"), text("state_code"), number("latitude", "lat"), number("longitude", "lon")),
+    )

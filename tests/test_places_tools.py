@@ -144,3 +144,12 @@ def test_agents(spark):
     d = spark.createDataFrame([("2+2",), ("the weather",), ("my orders",), ("hello",)], "text string")
     assert [x.t for x in d.select(A.route_column("text").alias("t")).collect()] == ["math", "weather", "db_query", "rag_qa"]
     assert json.loads(tools["db_query"].call({"sql": "drop table x"}))["ok"] is False
+
+
+def test_geo_files(spark, tmp_path):
+    (tmp_path / "cs.json").write_text('[{"name": "Zambia", "iso2": "ZM", "iso3": "ZMB", "states": [{"name": "Lusaka Province"}]}]')
+    (tmp_path / "c.json").write_text('[{"cca2": "ZM", "name": {"common": "Zambia"}, "latlng": [-15.0, 30.0]}]')
+    (tmp_path / "t.json").write_text('[{"name": "Lusaka", "country_code": "ZM", "state_code": "09", "latitude": "-15.4167", "longitude": "28.2833"}, {"name": "X", "country_code": "ZM", "latitude": "?"}]')
+    g = S.geo_tables(spark, *(f"{tmp_path}/{n}.json" for n in ("cs", "c", "t")))
+    assert g.country("ZM").first().name == "Zambia" and g.states_of("Zambia").first().name == "Lusaka Province"
+    assert g.cities_of("zm").first().lat == -15.4167 and g.centroids().first().lat == -15.0

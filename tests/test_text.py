@@ -2,7 +2,9 @@ import regex
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.functions.fluent import Text
 from loomspark.operators import nlp as N
+from loomspark.operators.sentiment import SentimentAnalyzer
 
 
 def one(spark, text, column):
@@ -103,3 +105,12 @@ def test_translation_and_lexicons(spark):
     words = spark.createDataFrame([("happy", "s1")], "word string, synset string")
     sets = spark.createDataFrame([("s1", "joy", ["glad", "Happy"])], "synset string, definition string, synonyms array<string>")
     assert {x.term for x in N.expand_terms(words, sets, spark.createDataFrame([("Happy",)], "word string")).collect()} == {"happy", "glad"}
+
+
+def test_chain_and_sentiment(spark):
+    assert one(spark, "  Héllo,   WORLD! 😀  ", Text("text").remove_emoji().remove_punctuation().strip_accents().lower().collapse().column) == "hello world"
+    assert one(spark, "a b c", Text("text").ngrams(3)) == ["a b c"] and one(spark, "the thing", Text("text").language()) == "en"
+    train = spark.createDataFrame([(0, "bad awful day", "negative"), (1, "good happy day", "positive"), (2, "awful", "negative"), (3, "happy", "positive")], "row_id int, text string, label string")
+    m = SentimentAnalyzer(2.0).fit(train)
+    got = m.predict(spark.createDataFrame([("so happy",), ("awful bad",), (None,)], "text string")).collect()
+    assert [x.prediction for x in got[:2]] == ["positive", "negative"] and 0 <= got[2].score <= 1
