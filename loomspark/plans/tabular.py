@@ -10,10 +10,12 @@ from ..functions import vectors as V
 from ..operators import features as X
 from ..operators import splits as P
 from ..operators.ordering import draw_sql
+from ..workers import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def r6(c) -> F.Column:

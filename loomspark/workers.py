@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -15,3 +15,9 @@ def ready(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over all cores if it has fewer partitions than there are cores, as for one small file; larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, scan.columns[0]) if scan.rdd.getNumPartitions() < cores else scan
