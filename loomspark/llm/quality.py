@@ -192,20 +192,30 @@ def train(texts: list[str], label_model: LabelModel, rounds: int = 120, rate: fl
         at_triple = np.concatenate([np.arange(a, b) for a, b in spans]) if len(row) else np.zeros(0, np.int64)
         key, c = np.unique(row << BITS | triple[at_triple], return_counts=True)
         r = key >> BITS
-        rows += [r + at, np.repeat(np.arange(n), names.shape[1]) + at]
-        cols += [key & (1 << BITS) - 1, names.ravel()]
-        vals += [SCALE * c / np.maximum(spans[:, 1] - spans[:, 0], 1)[r], np.ones(names.size)]
+        rows += [x.astype(np.int32) for x in (r + at, np.repeat(np.arange(n), names.shape[1]) + at)]
+        cols += [x.astype(np.int32) for x in (key & (1 << BITS) - 1, names.ravel())]
+        vals += [x.astype(np.float32) for x in (SCALE * c / np.maximum(spans[:, 1] - spans[:, 0], 1)[r], np.ones(names.size))]
         labels.append(label_model.posterior(votes(m)))
         at += n
     w = np.zeros((1 << BITS) + 1)
     if not at:
         return w
     row, col, val, y = (np.concatenate(x) for x in (rows, cols, vals, labels))
+    del rows, cols, vals
+    order = np.argsort(row, kind="stable")  # by row for the scores, by column for the gradient: sums of adjacent entries
+    row, col, val = row[order], col[order], val[order]
+    of_row = np.searchsorted(row, np.arange(at))
+    order = np.argsort(col, kind="stable")
+    there, of_col = np.unique(col[order], return_index=True)
+    row_by_col, val_by_col = row[order], val[order]
+    del row, order
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, val * w[col], at) + w[-1]
+        z = np.add.reduceat(val * w.astype(np.float32)[col], of_row) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(np.bincount(col, val * error[row], len(w) - 1) / at, error.mean()) + l2 * w
+        g = l2 * w
+        g[there] += np.add.reduceat(val_by_col * error.astype(np.float32)[row_by_col], of_col) / at
+        g[-1] += error.mean()
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
     return w
