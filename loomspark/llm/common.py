@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import ready
+from ..workers import ready, spread
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``read`` for work that is heavy in each row: a table of fewer splits than cores is spread over all cores."""
+    return spread(read(spark, sf_dir, name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one in a local session where it is unset."""
     sc = spark.sparkContext
