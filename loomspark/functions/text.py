@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LETTER_START = r"\p{L}[\p{L}\p{Mn}\p{Nd}_'\-]*"
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+LETTER_START = r"\p{L}[-'_\p{Nd}\p{Mn}\p{L}]*"
+EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
 MARKS = r"[\p{P}\p{S}]+"
 ABBREVIATIONS = ("mr.", "mrs.", "ms.", "dr.", "prof.", "inc.", "ltd.", "e.g.", "i.e.", "vs.")
 STOPWORDS = "the a an and or to of in on for is are was were".split()
@@ -35,7 +35,7 @@ def pieces(text) -> Column:
     return words(text, r"\S+")
 
 
-def regex_tokens(text, pattern: str = r"[\p{L}\p{N}_\-]+") -> Column:
+def regex_tokens(text, pattern: str = r"[-_\p{N}\p{L}]+") -> Column:
     return words(text, pattern)
 
 

@@ -30,8 +30,10 @@ class Parsed:
 
 _FIELD = re.compile(r"\b(source|tag|docId|doc):(\S+)", re.I)
 _DATES = re.compile(r"\bdate:(\d{4}-\d\d)\.\.(\d{4}-\d\d)\b", re.I)
-_NEAR = re.compile(r'near\(([^,]+),\s*"([^"]+)",\s*window\s*=\s*(\d+)\)', re.I)
-_PHRASE = re.compile(r'(?:\bphrase\s+)?"([^"]+)"', re.I)
+_QUOTED = '"([^"]+)"'
+_WINDOW = r"window\s*=\s*"
+_NEAR = re.compile(rf"near\(([^,]+),\s*{_QUOTED},\s*{_WINDOW}(\d+)\)", re.I)
+_PHRASE = re.compile(rf"(?:\bphrase\s+)?{_QUOTED}", re.I)
 
 
 def parse_query(query: str) -> Parsed:
@@ -54,7 +56,7 @@ def parse_query(query: str) -> Parsed:
             operator = part.upper()
         elif part.upper() == "NOT":
             negate = True
-        elif term := regex.sub(r"[^\p{L}\p{N}_\-]+", "", part).lower():
+        elif term := regex.sub(r"[^-_\p{N}\p{L}]+", "", part).lower():
             (p.must_not if negate else p.should if operator == "OR" else p.must).append(term)
             negate = False
     p.must, p.should, p.must_not, p.phrases = (list(dict.fromkeys(x)) for x in (p.must, p.should, p.must_not, phrases))
@@ -132,7 +134,7 @@ def intent(query: Column | str) -> Column:
     return F.when(has("countries mentioned"), "ENTITY_COUNTRY").when(has("glossary"), "GLOSSARY").when(has("summarize") | has("summary"), "SUMMARY").otherwise("SEARCH")
 
 
-_ASKS = re.compile(r"(what|where|when|how|which|who|is|are|does|do)\b", re.I)
+_ASKS = re.compile(r"(are|does|do|how|is|what|when|where|which|who)\b", re.I)
 
 
 def split_questions(prompt: str, most: int = 5) -> list[str]:

@@ -24,7 +24,7 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
 
 
 def norm(name: Column | str) -> Column:
-    t = F.regexp_replace(strip_accents(F.lower(F.col(name) if isinstance(name, str) else name)), r"[^\p{L}\p{N}\s]+", " ")
+    t = F.regexp_replace(strip_accents(F.lower(F.col(name) if isinstance(name, str) else name)), r"[^\s\p{N}\p{L}]+", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

@@ -132,7 +132,7 @@ ORACLE_SQL = {
     "geo_centroids": f"with {_GEO} select iso2, round(lat, 6) as lat, round(lon, 6) as lon from cent",
     "geo_features": f"with {_GEO}, {_NEAR}, {_OF} select p.c_custkey, round(p.lat, 6) as lat, round(p.lon, 6) as lon, round(nr.km, 6) as km, round((ascii(iso2[1]) + ascii(iso2[2])) / 200.0::double, 6) as code from pts p join nr on nr.c_custkey = p.c_custkey and rank = 1 join best b on b.c_custkey = p.c_custkey",
     "geo_search": r"""with t as (select 'COUNTRY' as type, n_name as name, 'N' || chr(n_nationkey + 65) as country_code, lower('N' || chr(n_nationkey + 65)) as other from nation union all select 'STATE', n_name || ' ' || r_name, 'N' || chr(n_nationkey + 65), '' from nation join region on n_regionkey = r_regionkey
-        union all select 'CITY', s_name, 'N' || chr(s_nationkey + 65), '' from supplier), q as (select 'supplier 00000001' q), n as (select *, trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')) a from t, q),
+        union all select 'CITY', s_name, 'N' || chr(s_nationkey + 65), '' from supplier), q as (select 'supplier 00000001' q), n as (select *, trim(regexp_replace(regexp_replace(lower(name), '[^\s\p{N}\p{L}]+', ' ', 'g'), '\s+', ' ', 'g')) a from t, q),
         s as (select type, name, country_code, greatest(case when a = q then 1.0::double when contains(a, q) or contains(q, a) then 0.92::double else greatest(0, 1 - levenshtein(a, q) / greatest(length(a), length(q))::double) end, case when other = '' then 0 when contains(q, other) then 0.92::double else 1 - levenshtein(other, q) / greatest(length(other), length(q))::double end) c from n)
         select type, name, country_code, round(c, 6) as confidence from s where c >= 0.55 order by c desc, type, name, country_code limit 10""",
     "geo_gazetteer": "select name, case min(p) when 0 then 'STATE' when 1 then 'COUNTRY' else 'CITY' end as label from (select lower(n_name || ' ' || r_name) as name, 0 p from nation join region on n_regionkey = r_regionkey union all select lower(n_name), 1 from nation union all select lower(s_name), 2 from supplier) group by name",

@@ -101,7 +101,7 @@ def test_stores(spark, tmp_path):
     assert len((tmp_path / "a.jsonl").read_text().splitlines()) == 2
 
 
-@pytest.mark.parametrize(("text", "value"), [("sqrt(144) + pow(2,3) + sin(pi/2)", 21), ("3^2 + 4^2", 25), ("-2^2", 4), ("2^3^2", 512), ("10-4-3", 3), ("2*-3", -6), ("log(1000) + ln(e)", 4), ("max(1, min(5, 3)) / 2", 1.5), ("(1+2)*3", 9), ("1e3 + .5", 1000.5)])
+@pytest.mark.parametrize(("text", "value"), [("sin(pi/2) + sqrt(144) + pow(2,3)", 21), ("3^2 + 4^2", 25), ("-2^2", 4), ("2^3^2", 512), ("10-4-3", 3), ("2*-3", -6), ("log(1000) + ln(e)", 4), ("max(1, min(5, 3)) / 2", 1.5), ("(1+2)*3", 9), ("1e3 + .5", 1000.5)])
 def test_expressions(spark, text, value):
     assert A.evaluate(text) == pytest.approx(value)
     assert spark.range(1).select(A.expression_column(text).alias("x")).first().x == pytest.approx(value)
@@ -114,11 +114,11 @@ def test_bad_expressions(text):
 
 
 def test_guarded_sql(spark):
-    spark.createDataFrame([(1, "Bruce", 120.5, "s"), (2, "Ava", 45.25, "t")], "id int, customer string, amount double, secret_note string").createOrReplaceTempView("g_orders")
+    spark.createDataFrame([(1, "Bela", 120.5, "s"), (2, "Ava", 45.25, "t")], "id int, customer string, amount double, secret_note string").createOrReplaceTempView("g_orders")
     log: list = []
     g = A.GuardedSql(spark, ["g_orders"], max_ms=600_000, audit=log.append)
     out = g.run("SELECT customer FROM g_orders WHERE amount > :least", {"least": 100.0})
-    assert out["ok"] and out["rows"] == [{"customer": "Bruce"}] and log[-1]["ok"]
+    assert out["ok"] and out["rows"] == [{"customer": "Bela"}] and log[-1]["ok"]
     for bad in ("INSERT INTO g_orders VALUES (1)", "select 1; select 2", "select * from other", "", "select * from g_orders, other", "with x as (select 1 a) select * from x join other"):
         assert not g.run(bad)["ok"], bad
     p = A.GuardedSql(spark, ["g_orders"], {"g_orders": ["id", "amount"]}, max_ms=600_000)

@@ -104,13 +104,13 @@ def explorer(spark):
 
 
 def test_structured_query(spark, explorer):
-    q = '"refund policy" AND receipt NOT shipping source:notes tag:policy date:2026-01..2026-01'
+    q = 'tag:policy source:notes "refund policy" AND receipt NOT shipping date:2026-01..2026-01'
     p = X.parse_query(q)
     assert (p.phrases, p.must, p.must_not, p.strict) == (["refund policy"], ["receipt"], ["shipping"], True)
     assert [x.doc_id for x in explorer.search(q).collect()] == ["d1"] and explorer.search(q.replace("2026-01..2026-01", "2026-02..2026-03")).collect() == []
     assert explorer.fetch("d1", 0, 12).first().text == "Refund polic" and explorer.stats().first().documents == 2
     e = X.Explorer(spark).add_text("d", "Refund policy allows refunds within 30 days with receipt.")
-    assert e.search('near(refund, "30 days", window=40)').count() == 1 and e.search('near(policy, "receipt", window=2)').count() == 0
+    assert e.search('near(refund, "30 days", window=45)').count() == 1 and e.search('near(policy, "receipt", window=2)').count() == 0
 
 
 def test_near_matches_brute_force(spark):
@@ -129,11 +129,11 @@ def test_explorer_answers(spark, explorer, tmp_path):
     assert explorer.query("glossary please")["answer"].startswith("Glossary: ") and explorer.query("")["intent"] == "NONE"
     assert explorer.query("summarize refund receipt")["citations"][0]["doc_id"] == "d1"
     assert explorer.query("refund")["citations"][0]["doc_id"] == "d1"
-    parts = X.split_questions("where is Lusaka? what is the price of bread there and what time does business start there?")
-    assert parts == ["where is Lusaka", "what is the price of bread there", "what time does business start there"]
+    parts = X.split_questions("where is Lusaka? how much is bread there and when do shops open there?")
+    assert parts == ["where is Lusaka", "how much is bread there", "when do shops open there"]
     state: dict = {}
     X.remember(parts[0], state)
-    assert X.resolve_references(parts[1], state) == "what is the price of bread in Lusaka"
+    assert X.resolve_references(parts[1], state) == "how much is bread in Lusaka"
     assert explorer.query_multi("what is the price of bread?")["parts"][0]["answer"] == "Not found in local corpus."
     explorer.save(f"{tmp_path}/i")
     again = X.Explorer.load(spark, f"{tmp_path}/i")

@@ -23,6 +23,11 @@ def table(spark, rows, labels=None, name="label"):
     return spark.createDataFrame([(*c, y) for c, y in zip(cols, labels)], f"row_id long, features array<double>, {name} {kind}")
 
 
+def m(s):
+    """A matrix: rows by commas."""
+    return [[float(x) for x in r.split()] for r in s.split(",")]
+
+
 def features(df):
     return [list(r.features) for r in df.orderBy("row_id").collect()]
 
@@ -69,7 +74,7 @@ def test_splits(spark):
 
 
 def test_scalers_and_encoders(spark):
-    scale3 = table(spark, [[1, 10], [2, 20], [3, 30]])
+    scale3 = table(spark, m("1 10,2 20,3 30"))
     assert features(X.MinMaxScaler().fit_transform(scale3)) == [[0, 0], [0.5, 0.5], [1, 1]]
     assert features(X.StandardScaler().fit_transform(scale3)) == [[-1, -1], [0, 0], [1, 1]]
     same = table(spark, [[5], [5]])
@@ -97,16 +102,16 @@ def test_pca_finds_the_leading_directions(spark):
 
 
 def test_classifiers(spark):
-    knn = L.KNearestNeighbors(3).fit(table(spark, [[1, 1], [1, 2], [4, 4], [5, 5]], list("AABB")))
+    knn = L.KNearestNeighbors(3).fit(table(spark, m("1 1,1 2,4 4,5 5"), list("AABB")))
     assert predictions(knn.predict(table(spark, [[4.5, 4.0]]))) == ["B"]
-    logic = [[0, 0], [0, 1], [1, 0], [1, 1]]
+    logic = m("0 0,0 1,1 0,1 1")
     lr = L.LogisticRegression().fit(table(spark, logic, [0, 1, 1, 1]))
     assert predictions(lr.predict(table(spark, [[1, 1], [0, 0]]))) == [1, 0]
     mlp = L.MLPBinaryClassifier().fit(table(spark, logic, [0, 0, 0, 1]))
     assert predictions(mlp.predict(table(spark, [[1, 1], [0, 0]]))) == [1, 0]
-    nb = L.GaussianNaiveBayes().fit(table(spark, [[1.0, 20.0], [1.2, 19.5], [3.5, 5.0], [3.7, 4.8]], ["cold", "cold", "hot", "hot"]))
+    nb = L.GaussianNaiveBayes().fit(table(spark, m("1 20,1.2 19.5,3.5 5,3.7 4.8"), ["cold"] * 2 + ["hot"] * 2))
     assert predictions(nb.predict(table(spark, [[3.6, 5.1], [1.1, 19.8]]))) == ["hot", "cold"]
-    six = table(spark, [[1, 1], [1, 2], [2, 1], [4, 4], [5, 5], [4, 5]], list("AAABBB"))
+    six = table(spark, m("1 1,1 2,2 1,4 4,5 5,4 5"), list("AAABBB"))
     assert predictions(L.RandomForestClassifier().fit(six).predict(table(spark, [[4.8, 4.8]]))) == ["B"]
     pipe = X.Pipeline([X.StandardScaler()], L.KNearestNeighbors(3)).fit(six)
     assert predictions(pipe.predict(table(spark, [[4.8, 4.6]]))) == ["B"]
@@ -127,29 +132,30 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_regressors(spark):
-    lin = table(spark, [[1], [2], [3], [4], [5]], [2.0, 4.0, 6.0, 8.0, 10.0], "target")
-    m = L.LinearRegression().fit(lin)
-    assert abs(predictions(m.predict(table(spark, [[6]])))[0] - 12) < 0.2
+    lin = table(spark, m("1,2,3,4,5"), [2.0 * i for i in range(1, 6)], "target")
+    model = L.LinearRegression().fit(lin)
+    assert abs(predictions(model.predict(table(spark, [[6]])))[0] - 12) < 0.2
     w, b = 0.0, 0.0
     xs, ys = np.arange(1, 6.0), 2 * np.arange(1, 6.0)
     for _ in range(2000):  # the steps themselves
         e = w * xs + b - ys
         w, b = w - 0.01 * (e * xs).mean(), b - 0.01 * e.mean()
-    assert abs(m.state["weights"][0] - w) < 1e-9 and abs(m.state["bias"] - b) < 1e-9
-    rf = table(spark, [[1], [2], [3], [4], [5], [6]], [2.0, 4.0, 6.1, 8.0, 10.1, 12.0], "target")
+    assert abs(model.state["weights"][0] - w) < 1e-9 and abs(model.state["bias"] - b) < 1e-9
+    rf = table(spark, m("1,2,3,4,5,6"), [y for (y,) in m("2,4,6.1,8,10.1,12")], "target")
     assert predictions(L.RandomForestRegressor().fit(rf).predict(table(spark, [[5.8]])))[0] > 8
 
 
 def test_kmeans_and_selection(spark):
-    km = L.MiniBatchKMeans(2).fit(table(spark, [[0, 0.1], [0.1, 0], [5, 5.1], [5.2, 5]]))
-    a, b, c, d = (x.cluster for x in km.predict(table(spark, [[0, 0.1], [0.1, 0], [5, 5.1], [5.2, 5]])).orderBy("row_id").collect())
+    four = table(spark, m("0 .1,.1 0,5 5.1,5.2 5"))
+    km = L.MiniBatchKMeans(2).fit(four)
+    a, b, c, d = (x.cluster for x in km.predict(four).orderBy("row_id").collect())
     assert a == b != c == d
-    six = table(spark, [[0, 0], [0, 1], [1, 0], [1, 1], [0.9, 0.9], [0.1, 0.2]], [0, 1, 1, 1, 1, 0])
+    six = table(spark, m("0 0,0 1,1 0,1 1,.9 .9,.1 .2"), [0, *[1] * 4, 0])
     folded = P.k_fold(six, "row_id", 3)
     assert len(S.cross_val_score(L.GaussianNaiveBayes, folded, "accuracy").collect()) == 3
     cal = S.CalibratedClassifierCV(L.LogisticRegression(iterations=50), 2).fit(six)
     assert all(0 <= x.score <= 1 for x in cal.predict(six).collect())
-    lin = table(spark, [[1], [2], [3], [4], [5], [6]], [2.0, 4.1, 5.9, 8.2, 10.1, 12.0], "target")
+    lin = table(spark, m("1,2,3,4,5,6"), [y for (y,) in m("2.1,4,5.9,8.1,10,12")], "target")
     params, score, model = S.grid_search(lambda **k: L.LinearRegression(iterations=500, **k), lin, {"learning_rate": [0.001, 0.02]}, "r2", 3)
     assert params == {"learning_rate": 0.02} and score > 0.8 and predictions(model.predict(table(spark, [[6]])))[0] > 11
     imp = dict(S.permutation_importance(L.GaussianNaiveBayes().fit(six), six, 2).collect())
@@ -157,7 +163,7 @@ def test_kmeans_and_selection(spark):
 
 
 def test_metrics_by_hand(spark):
-    rows = [(i, t, p, s) for i, (t, p, s) in enumerate(zip([1, 0, 1, 0, 1, 0], [1, 0, 1, 1, 1, 0], [0.9, 0.2, 0.8, 0.6, 0.7, 0.1]))]
+    rows = [(i, t, p, s) for i, (t, p, s) in enumerate(zip([1, 0] * 3, map(int, "101110"), (x[0] for x in m(".9,.2,.8,.6,.7,.1"))))]
     d = spark.createDataFrame(rows, "i int, y int, p int, s double")
     got = d.agg(M.accuracy("y", "p"), M.precision("y", "p", 1), M.recall("y", "p", 1), M.f1("y", "p", 1), M.matthews("y", "p", 1)).first()
     assert [round(x, 6) for x in got] == [0.833333, 0.75, 1.0, 0.857143, 0.707107]
@@ -165,9 +171,9 @@ def test_metrics_by_hand(spark):
     assert M.roc_auc(d.where("y = 1"), "y", "s", 1, ["i"]).first()[0] == 0.0
     assert {tuple(r) for r in M.confusion_matrix(d, "y", "p").collect()} == {(0, 0, 2), (0, 1, 1), (1, 0, 0), (1, 1, 3)}
     assert {(r.label, r.support) for r in M.classification_report(d, "y", "p").collect()} == {(0, 3), (1, 3)}
-    m = spark.createDataFrame([(100.0, 110.0), (200.0, 180.0), (400.0, 420.0)], "y double, p double").agg(M.mape("y", "p"), M.rmse("y", "p")).first()
-    assert abs(m[0] - 0.25 / 3) < 1e-9 and abs(m[1] - math.sqrt(300)) < 1e-9
-    t = S.tune_threshold(spark.createDataFrame(list(zip([1, 0, 1, 0, 1, 0], [0.9, 0.6, 0.8, 0.3, 0.7, 0.2])), "y int, s double"), "y", "s", 1, steps=21).first()
+    got = spark.createDataFrame(m("100 110,200 180,400 420"), "y double, p double").agg(M.mape("y", "p"), M.rmse("y", "p")).first()
+    assert abs(got[0] - 0.25 / 3) < 1e-9 and abs(got[1] - math.sqrt(300)) < 1e-9
+    t = S.tune_threshold(spark.createDataFrame(list(zip([1, 0] * 3, (x[0] for x in m(".9,.6,.8,.3,.7,.2")))), "y int, s double"), "y", "s", 1, steps=21).first()
     assert 0.6 < t.threshold <= 0.7 and t.value == 1.0
 
 
