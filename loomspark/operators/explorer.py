@@ -326,6 +326,6 @@ def remember(question: str, state: dict[str, str]) -> None:
 
 def evidence(question: str, text: str) -> bool:
     """Questions for prices need an amount in the text, those for hours a time."""
-    if re.search(r"\b(price|cost|amount)\b", question, re.I) and not re.search(r"[$€£]\s?\d|\b\d+(?:[.,]\d+)?\s?(?:usd|eur|zmw|kwacha|dollars?)\b|\b(?:price|cost)\w*\b.{0,40}\d", text, re.I | re.S):
+    if re.search(r"\b(price|cost|amount)\b", question, re.I) and not re.search(r"[$€£]\s?\d|\b\d+(?:[,.]\d+)?\s?(?:usd|eur|zmw|kwacha|dollars?)\b|\b(?:price|cost)\w*\b.{0,40}\d", text, re.I | re.S):
         return False
     return not (re.search(r"\b(hours|opening|open|business start)\b", question, re.I) and not re.search(r"\b\d{1,2}(?::\d\d)?\s?(?:am|pm|h)\b|\b\d{1,2}:\d\d\b", text, re.I))

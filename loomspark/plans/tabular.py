@@ -10,10 +10,11 @@ from ..functions import vectors as V
 from ..operators import features as X
 from ..operators import splits as P
 from ..operators.ordering import draw_sql
-from ..workers import spread
+from ..workers import ready, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)  # before any UDF is made
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(table) if name in ("documents", "pages") else table
 
