@@ -128,7 +128,7 @@ _FOR = f"""{_PX}, fr as (select image_id, count(*) as n, avg(r) mean_r, avg(g) m
 ORACLE_SQL = {
     "geo_nearest": f"with {_GEO}, {_NEAR} select c_custkey, cast(rank as int) as rank, city_id, round(km, 6) as km from nr where rank <= 3",
     "geo_nearest_in_country": f"with {_GEO}, {_NEAR.split(', nr as')[0].rstrip().rstrip(',')} select c_custkey, cast(row_number() over (partition by c_custkey order by km, city_id) as int) as rank, city_id, round(km, 6) as km from nc join cities using (city_id) where country_code = 'NB' and km <= 9000 qualify row_number() over (partition by c_custkey order by km, city_id) <= 2",
-    "geo_country": f"with {_GEO}, {_OF} select c_custkey, iso2, round(km, 6) as km, case when inside then 'bbox_then_nearest_centroid' else 'nearest_centroid' end as method from best",
+    "geo_country": f"with {_GEO}, {_OF} select c_custkey, iso2, round(round(km, 9), 6) as km, case when inside then 'bbox_then_nearest_centroid' else 'nearest_centroid' end as method from best",
     "geo_centroids": f"with {_GEO} select iso2, round(lat, 6) as lat, round(lon, 6) as lon from cent",
     "geo_features": f"with {_GEO}, {_NEAR}, {_OF} select p.c_custkey, round(p.lat, 6) as lat, round(p.lon, 6) as lon, round(nr.km, 6) as km, round((ascii(iso2[1]) + ascii(iso2[2])) / 200.0::double, 6) as code from pts p join nr on nr.c_custkey = p.c_custkey and rank = 1 join best b on b.c_custkey = p.c_custkey",
     "geo_search": r"""with t as (select 'COUNTRY' as type, n_name as name, 'N' || chr(n_nationkey + 65) as country_code, lower('N' || chr(n_nationkey + 65)) as other from nation union all select 'STATE', n_name || ' ' || r_name, 'N' || chr(n_nationkey + 65), '' from nation join region on n_regionkey = r_regionkey
