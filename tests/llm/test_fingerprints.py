@@ -83,3 +83,24 @@ def test_edges(documents):
     assert len(by[7]) == 2 and by[7][0] == by[7][1] and len(by[None]) == 2
     assert len(by[5][0].phrases) > 500
     assert fingerprints(documents([])).collect() == []
+
+
+def test_passages_of_fifty_words_share_names(documents):
+    r = random.Random(10)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passages = [prose(50) for _ in range(60)]
+    texts = [f"{prose(r.randint(20, 200))} {p} {prose(r.randint(20, 200))}" for p in passages for _ in range(2)]
+    rows = {x.doc_id: x for x in fingerprints(documents(enumerate(texts))).collect()}
+    for i in range(0, len(texts), 2):
+        assert set(rows[i].phrases_4) & set(rows[i + 1].phrases_4), passages[i // 2]
+        assert len(set(rows[i].phrases_3) & set(rows[i + 1].phrases_3)) >= 5
+    for i, t in enumerate(texts[:4]):
+        for level, got in ((3, rows[i].phrases_3), (4, rows[i].phrases_4), (5, rows[i].phrases)):
+            assert [x & M for x in got] == brute(t, level)
+
+
+def test_finer_levels_of_edges(documents):
+    by = {r.doc_id: r for r in fingerprints(documents(edge_rows())).collect()}
+    assert by[2].phrases_3 is None and by[2].phrases_4 is None
+    assert by[3].phrases_3 == [] and by[3].phrases_4 == []
