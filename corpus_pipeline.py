@@ -30,8 +30,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences."""
-    return packing.pack(docs)
+    """Where each piece of each document goes in the training sequences, by exact tokens."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [

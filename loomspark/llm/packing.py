@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, token_estimate
+from .common import map_batches, token_estimate, written
+from .token_counts import document_tokens
 
 SCHEMA = "shard int, bin long, bin_offset int, doc_id long, piece int, start long, n_tokens int"
 ARROW = pa.schema([("shard", pa.int32()), ("bin", pa.int64()), ("bin_offset", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
@@ -92,3 +93,11 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, docs_per_sh
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
 
     return map_batches(sized.repartition("shard").sortWithinPartitions("shard", "doc_id", "n"), run, SCHEMA)
+
+
+def pack_tokens(docs: DataFrame, **parameters) -> DataFrame:
+    """``pack`` by exact tokens: start and n_tokens are positions in the encoding of ``token_counts``, and no bin holds more than ``capacity``.
+
+    Texts are encoded once; the counts are written, as ``pack`` reads them twice.
+    """
+    return pack(written(document_tokens(docs)), token_col="n_tokens", **parameters)

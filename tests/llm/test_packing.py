@@ -1,6 +1,9 @@
 import random
 
+import corpus_pipeline
+from loomspark.llm import queries
 from loomspark.llm.packing import Packer, pack
+from loomspark.llm.token_counts import PATTERN, RANKS, tokenizer
 
 from .conftest import edge_rows
 
@@ -65,3 +68,18 @@ def test_edges(documents):
     assert pack(documents([])).collect() == []
     given = pack(documents([(1, "abc"), (2, None)]).selectExpr("*", "7 as t"), token_col="t", capacity=5).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in given) == [(1, 2), (1, 5), (2, 2), (2, 5)]
+
+
+def test_query_and_last_stage_count_tokens(spark, documents, tmp_path):
+    texts = ["Die Straßenbahnhaltestellenüberdachung wurde großzügig erneuert. " * 300, "def f(x):\n    return {k: v[0] for k, v in x.items() if v}\n" * 200, "The cat sat on the mat. " * 400, "東京 😀 " * 90, "a", "", None]
+    docs = documents([*enumerate(texts), (None, "no id"), (4, "a")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    encode = tokenizer(RANKS, PATTERN)[0].encode_ordinary
+    want = {i: len(encode(t)) for i, t in enumerate(texts) if t} | {None: len(encode("no id")), 4: 2}
+    assert any(n != -(-len(texts[i].encode()) // 4) for i, n in want.items() if i in (0, 1, 2))
+    for rows in (queries.op1_best_fit_packing(spark, str(tmp_path)).collect(), corpus_pipeline.best_fit(spark, docs, str(tmp_path)).collect()):
+        got, bins = {}, {}
+        for x in rows:
+            got[x.doc_id] = got.get(x.doc_id, 0) + x.n_tokens
+            bins[x.shard, x.bin] = bins.get((x.shard, x.bin), 0) + x.n_tokens
+        assert got == want and max(bins.values()) <= 2048
