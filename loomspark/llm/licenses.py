@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_batches, written
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -78,6 +81,63 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     return counted.select("doc_id", "line", "license", "overlap", F.round(F.col("overlap") / F.col("n"), 6).alias("containment"))
 
 
+def windows(lines: list[set[str]], template: frozenset[str], need: int) -> Iterator[tuple[int, int, int]]:
+    """first, last, overlap of the least runs of lines that hold ``need`` words of the template together; no such run holds another.
+
+    lines: the words of each line. A run doesn't pass a line without words.
+    """
+    here, held, first, before = [w & template for w in lines], Counter(), 0, -1
+    for last, words in enumerate(here):
+        if not lines[last]:
+            held.clear()
+            first = last + 1
+            continue
+        held.update(words)
+        while len(held) - sum(held[w] == 1 for w in here[first]) >= need:
+            for w in here[first]:
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+            first += 1
+        if len(held) >= need and first > before:
+            yield first, last, len(held)
+            before = first
+
+
+def scan_wrapped(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, first_line, last_line, license, overlap, containment: ``scan`` for notices that may be wrapped over lines.
+
+    A block is any run of consecutive lines of one paragraph (a line without words ends it); of the blocks that hold at least
+    ``threshold`` of a template's word set, those that hold no other such block are reported. So each line that ``scan`` finds is
+    here with first_line = last_line. A text whose words as a whole hold too little of every template is passed over; all other
+    texts are counted exactly, however long the paragraph.
+
+    Null text: no row. A null doc_id is carried. Repeated rows give one result. Empty text or no documents: no rows. Other
+    columns are ignored.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    sets = {k: v for k, v in template_sets(TEMPLATES if templates is None else templates).items() if v}
+    need = {k: math.ceil(threshold * len(v) - 1e-9) for k, v in sets.items()}
+    vocabulary = frozenset().union(*sets.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = re.compile(BREAK).split
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                text = text.lower()
+                held = vocabulary.intersection(split(text))
+                some = [k for k, v in sets.items() if len(held & v) >= need[k]]
+                lines = [set(split(line)) - {""} for line in text.split("\n")] if some else []
+                out += [(doc_id, first, last, k, n, round(n / len(sets[k]), 6)) for k in some for first, last, n in windows(lines, sets[k], need[k])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64()))], ["doc_id", "first_line", "last_line", "license", "overlap", "containment"])
+
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, run, "doc_id long, first_line int, last_line int, license string, overlap int, containment double").distinct()
+
+
 def _oracle() -> str:
     rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in sorted(v))}])" for k, v in template_sets(TEMPLATES).items())
     return rf"""

@@ -1,7 +1,9 @@
 import math
 import random
+import textwrap
 
 from loomspark.llm import licenses as L
+from loomspark.llm import queries
 
 from .conftest import edge_rows
 
@@ -33,3 +35,39 @@ def test_notices_and_edges(documents):
     assert got == brute(rows, L.TEMPLATES, L.THRESHOLD)
     assert {(i, name) for i, _, name, _, c in got if c == 1} == {(60, "Apache-2.0"), (61, "CC-BY-NC-4.0"), (61, "CC-BY-4.0"), (None, "MIT")}
     assert L.scan(documents([])).collect() == [] and L.scan(documents(rows), {}).collect() == []
+
+
+def brute_wrapped(rows, templates, threshold):
+    sets = L.template_sets(templates)
+    out = set()
+    for i, text, *_ in rows:
+        lines = [{w for w in L.re.split(L.BREAK, line.lower()) if w} for line in ([] if text is None else text.split("\n"))]
+        for name, t in sets.items():
+            need = math.ceil(threshold * len(t) - 1e-9)
+            hits = [(a, b, len(set().union(*lines[a : b + 1]) & t)) for a in range(len(lines)) for b in range(a, len(lines)) if all(lines[a : b + 1]) and len(set().union(*lines[a : b + 1]) & t) >= need]
+            out |= {(i, a, b, name, n, round(n / len(t), 6)) for a, b, n in hits if not any(a <= c and d <= b and (c, d) != (a, b) for c, d, _ in hits)}
+    return out
+
+
+def test_windows_match_brute_force(documents):
+    r = random.Random(14)
+    templates = {f"t{k}": " ".join(r.sample("abcdefghijklmnop", r.randint(1, 9))) for k in range(12)}
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefghijklmnopqrs") for _ in range(r.randint(0, 5))) for _ in range(r.randint(1, 9)))) for i in range(150)]
+    for threshold in (0.5, 0.8, 1.0):
+        got = [tuple(x) for x in L.scan_wrapped(documents(rows), templates, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_wrapped(rows, templates, threshold)
+
+
+def test_wrapped_notices(spark, documents, tmp_path):
+    wrap = lambda k, width, mark: "x\n\n" + "\n".join(mark + line for line in textwrap.wrap(L.TEMPLATES[k], width)) + "\n\ny"
+    cases = [(k, width, mark) for k in ("BSD-3-Clause", "MIT-grant", "GPL-2.0") for width, mark in ((30, "# "), (72, " * "), (80, ""))]
+    rows = [(i, wrap(*c)) for i, c in enumerate(cases)]
+    docs = documents([*rows, *[(100 + i, t) for i, t, *_ in edge_rows()[:4] if i is not None], (None, wrap(*cases[1])), (0, rows[0][1])])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in queries.queries()["wrapped_license_scans"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got))
+    found = {(i, name) for i, _, _, name, _, _ in got}
+    assert found >= {(i, k) for i, (k, _, _) in enumerate(cases)} | {(None, "BSD-3-Clause")}
+    assert {(i, name) for i, _, name, _, _ in (tuple(x) for x in L.scan(docs).collect())} <= found
+    assert all(2 <= a <= b < rows[i][1].count("\n") - 1 for i, a, b, *_ in got if i is not None and i < 100)
+    assert L.scan_wrapped(documents([])).collect() == [] and L.scan_wrapped(docs, {}).collect() == []
