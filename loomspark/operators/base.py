@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class InvalidArgument(ValueError):
@@ -109,6 +110,11 @@ class Classifier(Parametric, ABC):
     @abstractmethod
     def predict(self, df: DataFrame) -> DataFrame: ...
 
+    def predict_swapped(self, df: DataFrame, swaps: str) -> DataFrame:
+        """A row for each of ``swaps`` (an array of structs with j and v), as ``swap``; predicted as if feature j were v."""
+        rows = df.withColumn("swap", F.explode(swaps)).drop(swaps)
+        return self.predict(rows.withColumn("features", F.transform("features", lambda x, i: F.when(i == F.col("swap.j"), F.col("swap.v")).otherwise(x))))
+
 
 class ProbabilisticClassifier(Classifier):
     """predict also adds ``score``, the probability of the positive class."""
@@ -136,8 +142,6 @@ class Clusterer(Parametric, ABC):
 
 def check_matrix(df: DataFrame, column: str = "features") -> int:
     """The common length of the arrays; raises if there is none. Costs a job, so only fitting calls it."""
-    from pyspark.sql import functions as F
-
     low, high, nulls = df.agg(F.min(F.size(column)), F.max(F.size(column)), F.count_if(F.col(column).isNull())).first()
     if low is None or nulls or low != high or low < 1:
         raise InvalidArgument("features must be non-empty arrays of one length, and rows there must be")

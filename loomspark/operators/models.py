@@ -120,11 +120,23 @@ class GaussianNaiveBayes(Classifier):
             out.append(F.aggregate(terms, F.lit(math.log(p)), lambda a, x: a + x))
         return out
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        posts = F.array(*self.log_posteriors())
+    def _most(self, posts: Column) -> Column:
         labels = F.array(*[F.lit(x) for x in self.state["labels"]])
         at = F.array_position(posts, F.array_max(posts))
-        return df.withColumn("prediction", F.element_at(labels, at.cast("int")))
+        return F.element_at(labels, at.cast("int"))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", self._most(F.array(*self.log_posteriors())))
+
+    def predict_swapped(self, df: DataFrame, swaps: str) -> DataFrame:
+        """Sums over all features are made once a row; a swap changes one term of each."""
+        rows = df.withColumn("_posts", F.array(*self.log_posteriors())).withColumn("swap", F.explode(swaps)).drop(swaps)
+        at, posts = F.col("swap.j") + 1, []
+        old, new = F.element_at("features", at), F.col("swap.v")
+        for k, (m, v) in enumerate(zip(self.state["mean"], self.state["var"])):
+            mean, var = F.element_at(_lits(m), at), F.element_at(_lits(v), at)
+            posts.append(F.col("_posts")[k] + ((old - mean) * (old - mean) - (new - mean) * (new - mean)) / (2 * var))
+        return rows.withColumn("_posts", F.array(*posts)).withColumn("prediction", self._most(F.col("_posts"))).drop("_posts")
 
 
 @dataclass

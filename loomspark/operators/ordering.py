@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(seed: int | str, key: Column | str) -> Column:
+def draw(seed: int | str | Column, key: Column | str) -> Column:
     """A seeded uniform draw in [0, 2**32), the same in any SQL engine that has md5."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    seed = F.concat(seed, F.lit(":")) if isinstance(seed, Column) else F.lit(f"{seed}:")
+    return F.conv(F.substring(F.md5(F.concat(seed, key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
 def draw_sql(seed: int | str, key: str) -> str:

@@ -145,23 +145,17 @@ def apply_threshold(score: Column | str, threshold: float, positive, negative) -
 
 
 def permutation_importance(model: Classifier, df: DataFrame, repeats: int = 3, seed: int = 42, order: str = "row_id") -> DataFrame:
-    """feature, importance: how much accuracy falls when one feature's values are permuted among rows."""
+    """feature, importance: how much accuracy falls when one feature's values are permuted among rows, on average over repeats.
+
+    One pass for all features and repeats: values are numbered by seeded draw within each, gathered by number, and the row of that
+    number is predicted once for each.
+    """
     d = df.select(F.size("features")).first()[0]
     base = model.predict(df).agg(M.accuracy("label", "prediction")).first()[0]
-    left = ranked(df, F.col(order), [order]).persist()
-    rows = []
-    try:
-        for j in range(d):
-            drop = 0.0
-            for r in range(repeats):
-                other = ranked(df.select(order, F.col("features")[j].alias("_v")), draw(f"{seed}-{j}-{r}", order), [order]).select("rn", "_v")
-                mixed = left.join(other, "rn").withColumn("features", F.transform("features", _replace(j)))
-                drop += base - model.predict(mixed).agg(M.accuracy("label", "prediction")).first()[0]
-            rows.append((j, drop / repeats))
-    finally:
-        left.unpersist()
-    return df.sparkSession.createDataFrame(rows, "feature int, importance double")
-
-
-def _replace(j: int):
-    return lambda x, i: F.when(i == j, F.col("_v")).otherwise(x)
+    runs = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r")) for j in range(d) for r in range(repeats)])
+    values = df.select(order, "features", F.explode(runs).alias("_run")).select(order, "_run.j", "_run.r", F.element_at("features", F.col("_run.j") + 1).alias("v"))
+    values = values.withColumn("_draw", draw(F.concat_ws("-", F.lit(str(seed)), F.col("j"), F.col("r")), order))
+    swaps = ranked(values, F.col("_draw"), [order], within=["j", "r"]).groupBy("rn").agg(F.collect_list(F.struct("j", "r", "v")).alias("_swaps"))
+    rows = model.predict_swapped(ranked(df, F.col(order), [order]).join(swaps, "rn"), "_swaps")
+    drops = rows.groupBy(F.col("swap.j").alias("j"), F.col("swap.r").alias("r")).agg(M.accuracy("label", "prediction").alias("a"))
+    return drops.groupBy(F.col("j").alias("feature")).agg((F.sum(F.lit(base) - F.col("a")) / repeats).alias("importance"))

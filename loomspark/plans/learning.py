@@ -103,9 +103,9 @@ def threshold_tune(spark, sf):
 
 
 def permutation(spark, sf):
-    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("features"), "label")
+    v = _vectors(spark, sf)
     m = L.GaussianNaiveBayes().fit(v)
-    return S.permutation_importance(m, v, 1).select("feature", r6("importance").alias("importance"))
+    return S.permutation_importance(m, v).select("feature", r6("importance").alias("importance"))
 
 
 def sentiment_predict(spark, sf):

@@ -162,6 +162,35 @@ def test_kmeans_and_selection(spark):
     assert set(imp) == {0, 1}
 
 
+def test_permutation_importance_of_all_features(spark, tmp_path):
+    import random
+
+    from loomspark.operators.base import Classifier
+    from loomspark.operators.ordering import draw, ranked
+    from loomspark.plans import catalog
+
+    r = random.Random(3)
+    rows = [(i, [float(r.gauss(2.0 * (i % 3) * (j in (0, 6)), 1)) for j in range(7)], i % 3) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = dict(catalog.queries()["permutation"](spark, str(tmp_path)).collect())
+    assert set(got) == set(range(7)) and got[6] > 0.05 and max(abs(got[j]) for j in range(1, 6)) < got[6]
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id as row_id", "cast(embedding as array<double>) as features", "label")
+    model = L.GaussianNaiveBayes().fit(v)
+    data = [(x.row_id, list(x.features), x.label) for x in v.orderBy("row_id").collect()]
+    share = lambda ds: sum(a.label == a.prediction for a in model.predict(spark.createDataFrame(ds, v.schema)).collect()) / len(ds)
+    base = share(data)
+    for j in (0, 6):
+        drop = 0.0
+        for k in range(3):
+            order = [x.rn for x in ranked(v, draw(f"42-{j}-{k}", "row_id"), ["row_id"]).orderBy("row_id").collect()]
+            value = {rn: x[1][j] for rn, x in zip(order, data)}
+            drop += base - share([(i, [value[n + 1] if c == j else y for c, y in enumerate(f)], lab) for n, (i, f, lab) in enumerate(data)])
+        assert abs(got[j] - drop / 3) < 1e-5
+    swaps = v.selectExpr("row_id", "features", "label", "array(named_struct('j', 6, 'v', 1.5D), named_struct('j', 0, 'v', -9D)) as s")
+    both = [{(x.row_id, x.swap.j): x.prediction for x in f(swaps, "s").collect()} for f in (model.predict_swapped, lambda a, b: Classifier.predict_swapped(model, a, b))]
+    assert both[0] == both[1] and len(both[0]) == 180
+
+
 def test_metrics_by_hand(spark):
     rows = [(i, t, p, s) for i, (t, p, s) in enumerate(zip([1, 0] * 3, map(int, "101110"), (x[0] for x in m(".9,.2,.8,.6,.7,.1"))))]
     d = spark.createDataFrame(rows, "i int, y int, p int, s double")
