@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ from .kernels import pieces
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "last", "most")
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")  # the white space of PATTERN
 
 
 @lru_cache(2)
@@ -32,6 +34,30 @@ def tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """The tokens of a text.
+
+    Under ``PATTERN`` a run of white space is one piece, but for its last character where something follows; the pattern's
+    engine gives up on runs of some hundred thousand, so long ones are taken out and encoded as the pieces that they are. Other
+    patterns have their own pieces: nothing is taken out for them.
+    """
+    encoding = tokenizer(path, pattern)[0]
+    if pattern != PATTERN:
+        return encoding.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        out: list[int] = []
+        at = 0
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += encoding.encode_ordinary(text[at : run.start()])
+            out += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+    return encode
+
+
 def allocate(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: str) -> np.ndarray:
     """The section of each token [start, end), by the sorted section starts; the interval join, as two binary searches.
 
@@ -59,15 +85,14 @@ def count_tokens(docs: DataFrame, rule: str = "first", ranks: str = RANKS, patte
     its tokens follow from their lengths and are joined to the sections. Boundary-crossing tokens go by ``rule``, see
     ``allocate``; so the sections' counts add up to the document's.
 
-    Empty text is one section without tokens. Null text: no row. A null doc_id is carried. Repeated rows: a result each. No
+    Empty text is one section without tokens. Long texts, words and runs of blanks are encoded whole. Null text: no row. A null doc_id is carried. Repeated rows: a result each. No
     documents: no rows. Other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, size = tokenizer(ranks, pattern)
-        encode = encoding.encode_ordinary
+        encode, size = encoder(ranks, pattern), tokenizer(ranks, pattern)[1]
         for batch in batches:
             for at, end, raw, offsets in pieces(batch.column("text"), 1 << 22):
                 tokens: list[int] = []
@@ -111,7 +136,7 @@ def document_tokens(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks, pattern)[0].encode_ordinary
+        encode = encoder(ranks, pattern)
         for batch in batches:
             n = [None if text is None else len(encode(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
