@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import ready, spread
+from ..workers import ready
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,11 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``read`` for work that is heavy in each row: a table of fewer splits than cores is spread over all cores."""
-    return spread(read(spark, sf_dir, name))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one in a local session where it is unset."""
     sc = spark.sparkContext
@@ -54,7 +51,35 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers' path."""
+    """``mapInArrow`` with this package on the workers' path; a worker gives its memory back at the end of a task."""
     ready(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def text_score(df: DataFrame, score, column: str, name: str) -> DataFrame:
+    """df with ``name``, a double that ``score`` gives for each Arrow array of ``column``; only that column goes to Python and only the numbers come back."""
+    ready(df.sparkSession)
+
+    def lean(text: pa.Array) -> pa.Array:
+        out = score(text)
+        release()
+        return out
+
+    # as if not deterministic, or a later filter would make Spark evaluate it twice
+    return df.withColumn(name, F.arrow_udf(lean, "double").asNondeterministic()(F.col(column)))

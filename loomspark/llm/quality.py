@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
-from .kernels import U64, WORD, mix, pieces, span_hashes, sums, words
+from .common import map_batches, text_score
+from .kernels import U64, WORD, mix, pieces, span_hashes, string_parts, sums, words
 
 BITS = 16
+PIECE = 1 << 18  # small, for a dozen arrays of its size are in use at a time
 SAMPLE = 4000
 CUT = 0.5
 
@@ -24,25 +25,44 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
-# (measure, good if at or below, bad if at or above); else a labeller abstains. That one kind of junk is absent says little
-# about the others, so most only ever vote bad; each kind is seen by two of them at least.
+_OPEN, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
+_OPEN[[ord(c) for c in "([{"]] = True
+_CLOSE[[ord(c) for c in ")]}"]] = True
+FUNCTION_WORDS = (
+    "the of and to in is that it for was on with as be by at this are or an from und der die das den mit von zu ist nicht ein eine auf sich "
+    "de la le les des et en un une que qui dans pour est par sur el los las y del se por con una para al"
+)
+
+# (measure, good from, good up to, bad from); else a labeller abstains. The last two only ever vote good: prose of a language they
+# know, and brackets that match, as in code.
 LABELLERS = (
-    ("symbols", -1.0, 0.02),  # share of bytes
-    ("upper", -1.0, 0.25),  # share of letters
-    ("repeats", -1.0, 0.15),  # share of words that repeat the one before
-    ("bars", -1.0, 0.02),  # table bars a word
-    ("shouts", -1.0, 0.05),  # exclamation marks a word
-    ("run", 24.0, 60.0),  # words a full stop
-    ("sameness", -1.0, 0.6),  # share of word pairs that occurred before in the text
-    ("marked", -1.0, 0.25),  # share of words that a symbol or exclamation mark follows
-    ("loose", -1.0, 0.15),  # single marks between blanks a word
+    ("symbols", 0.0, 0.005, 0.15),  # share of bytes
+    ("upper", 0.004, 0.12, 0.3),  # share of letters
+    ("repeats", 0.0, 0.04, 0.15),  # share of words that repeat the one before
+    ("bars", 0.0, 0.0, 0.2),  # table bars a word
+    ("shouts", 0.0, 0.02, 0.1),  # exclamation marks a word
+    ("run", 2.0, 24.0, 60.0),  # words a full stop
+    ("sameness", 0.0, 0.35, 0.6),  # share of word pairs that occurred before in the text
+    ("marked", 0.0, 0.01, 0.25),  # share of words that a doubled symbol or exclamation mark follows
+    ("loose", 0.0, 0.03, 0.4),  # single marks between blanks a word
+    ("function", 0.1, 1.0, np.inf),  # share of function words
+    ("balance", 0.9, 1.0, np.inf),  # closing brackets an opening one, or the other way round
 )
-NAMES = tuple(n for n, _, _ in LABELLERS)
-ACCUSED = 0.01  # a labeller votes bad on at most this share of good documents
+NAMES = tuple(x[0] for x in LABELLERS)
+ACCUSERS = tuple(j for j, x in enumerate(LABELLERS) if np.isfinite(x[3]))
+
+
+def _hashes(text: str) -> np.ndarray:
+    raw, offsets = string_parts(pa.array([text]))
+    starts, ends, _ = words(raw, offsets)
+    return np.unique(span_hashes(raw, starts, ends))
+
+
+_FUNCTION = _hashes(FUNCTION_WORDS)
 
 
 def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, labellers) measures; nan where a text is too short to tell (fewer than five words, twenty for sameness)."""
+    """(rows, labellers) measures; nan where a text has too little to tell (fewer than five words, twenty for sameness, four brackets for balance)."""
     n_bytes = np.diff(offsets)
     starts, ends, first = words(raw, offsets)
     n_words = np.diff(first)
@@ -68,8 +88,10 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     accented = np.zeros(len(raw), bool)
     accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] <= 0x9E) & (raw[1:] >= 0x80)
     upper = sums(_UPPER[raw] | accented, offsets)
-    follow = np.minimum(ends, max(len(raw) - 1, 0))
-    odd = (symbol | shout)[follow] if len(raw) else np.zeros(0, bool)
+    doubled = np.zeros(len(raw) + 1, bool)
+    doubled[:-2] = (symbol | shout)[:-1] & (raw[:-1] == raw[1:]) if len(raw) > 1 else False
+    function = _FUNCTION[np.minimum(np.searchsorted(_FUNCTION, h), len(_FUNCTION) - 1)] == h
+    opened, closed = sums(_OPEN[raw], offsets), sums(_CLOSE[raw], offsets)
     w = np.maximum(n_words, 1)
     out = np.column_stack(
         [
@@ -80,8 +102,10 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             sums(shout, offsets) / w,
             n_words / (sums((raw == 46) | (raw == 63), offsets) + 1),
             1 - distinct / np.maximum(n_words - 1, 1),
-            sums(odd, first) / w,
+            sums(doubled[ends], first) / w,
             sums(alone, offsets) / w,
+            sums(function, first) / w,
+            np.where(opened + closed >= 4, np.minimum(opened, closed) / np.maximum(np.maximum(opened, closed), 1), np.nan),
         ]
     )
     out[n_words < 5] = np.nan
@@ -91,9 +115,9 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def votes(m: np.ndarray) -> np.ndarray:
     """0 for bad, 1 for abstaining, 2 for good."""
-    low, high = (np.array([x[i] for x in LABELLERS]) for i in (1, 2))
+    low, high, bad = (np.array([x[i] for x in LABELLERS]) for i in (1, 2, 3))
     with np.errstate(invalid="ignore"):
-        return np.where(m >= high, 0, np.where(m <= low, 2, 1)).astype(np.int8)
+        return np.where(m >= bad, 0, np.where((m >= low) & (m <= high), 2, 1)).astype(np.int8)
 
 
 def codes(v: np.ndarray) -> np.ndarray:
@@ -102,39 +126,40 @@ def codes(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(good) and, for each labeller, P(vote | bad or good) as a (labellers, 2, 3) table."""
+    """P(class), the first for good documents and one for each kind of bad ones, and P(bad or good vote | class, a vote) as (classes, labellers, 2)."""
 
-    prior: float
+    prior: np.ndarray
     table: np.ndarray
 
+    def classes(self, v: np.ndarray) -> np.ndarray:
+        """P(class | votes); abstaining says nothing."""
+        logs = np.log(self.prior) + (v == 0) @ np.log(self.table[:, :, 0]).T + (v == 2) @ np.log(self.table[:, :, 1]).T
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        logs = np.log(self.table)
-        at = np.arange(v.shape[1])
-        bad, good = (logs[at, y, v].sum(1) for y in (0, 1))
-        return 1 / (1 + np.exp(np.clip(bad - good + np.log((1 - self.prior) / self.prior), -500, 500)))
+        """P(good | votes)."""
+        return self.classes(v)[:, 0]
 
 
-def expectation_maximisation(v: np.ndarray, count: np.ndarray, rounds: int = 100) -> LabelModel:
+def expectation_maximisation(v: np.ndarray, count: np.ndarray, accusers: tuple[int, ...] = ACCUSERS, rounds: int = 500) -> LabelModel:
     """Fitted to vote patterns v with their counts.
 
-    Starts with labellers that see a third of the bad documents and accuse few good ones, and stays near that where votes are few.
-    Without the bound ``ACCUSED`` the likeliest two classes could be one kind of junk and all the rest.
+    Bad documents are of as many kinds as there are labellers that can vote bad; each kind starts as what one of them
+    mostly accuses and the others mostly pass, good documents as what all mostly pass. From there, how often each labeller accuses
+    documents of each class is free: no rate is bounded, ten pseudo-votes a rate are all that the start weighs. With one bad
+    class the likeliest two could be one kind of junk and all the rest.
     """
-    m = v.shape[1]
-    pseudo = np.tile(np.array([[3.0, 4.0, 3.0], [0.1, 4.9, 5.0]]), (m, 1, 1))
-    model = LabelModel(0.7, pseudo / pseudo.sum(2, keepdims=True))
+    pseudo = np.tile(np.array([0.5, 9.5]), (len(accusers) + 1, v.shape[1], 1))
+    for k, j in enumerate(accusers):
+        pseudo[k + 1, j] = 9.5, 0.5
+    share = np.array([7.0, *[3.0 / max(1, len(accusers))] * len(accusers)])
+    model = LabelModel(share / share.sum(), pseudo / pseudo.sum(2, keepdims=True))
     for _ in range(rounds):
-        good = model.posterior(v)
-        table = pseudo.copy()
-        for y, p in enumerate((1 - good, good)):
-            for k in range(3):
-                table[:, y, k] += (v == k).T @ (p * count)
-        table /= table.sum(2, keepdims=True)
-        over = table[:, 1, 0] > ACCUSED
-        table[over, 1, 1:] *= ((1 - ACCUSED) / (1 - table[over, 1, 0]))[:, None]
-        table[over, 1, 0] = ACCUSED
-        new = LabelModel(float((good @ count + 7) / (count.sum() + 10)), table)
-        done = abs(new.prior - model.prior) < 1e-9 and np.abs(new.table - model.table).max() < 1e-7
+        weight = model.classes(v) * count[:, None]
+        table = pseudo + np.stack([weight.T @ (v == 0), weight.T @ (v == 2)], 2)
+        new = LabelModel((weight.sum(0) + share) / (count.sum() + share.sum()), table / table.sum(2, keepdims=True))
+        done = max(np.abs(new.prior - model.prior).max(), np.abs(new.table - model.table).max()) < 1e-7
         model = new
         if done:
             break
@@ -151,6 +176,8 @@ _BINS = (
     (0.1, 0.25, 0.4, 0.6, 0.75, 0.85, 0.95),
     (0.0, 0.02, 0.1, 0.25, 0.5, 0.75, 0.9),
     (0.0, 0.01, 0.05, 0.15, 0.3, 0.6, 0.9),
+    (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5),
+    (0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 0.99),
 )
 
 
@@ -227,7 +254,7 @@ def pattern_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
-            for _, _, raw, offsets in pieces(batch.column("text")):
+            for _, _, raw, offsets in pieces(batch.column("text"), PIECE):
                 total += np.bincount(codes(votes(measures(raw, offsets))), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "n"])
@@ -257,20 +284,16 @@ def classify(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT, columns: l
     scorer over hashed byte triples and binned measures; it scores every document. Kept is what scores ``cut`` or more.
 
     Null and empty text: rejected. A null doc_id is carried. Short texts (fewer than five words) get votes from no labeller, so the
-    prior and their triples decide. Repeated rows: a result each. No documents: no rows. Other columns are ignored.
+    prior and their triples decide. A text of any length is one row of one vote. Equal texts get equal scores, so repeated rows
+    stay or go together. No documents: no rows. Other columns are ignored.
     """
     _, w = fit(docs, sample)
     weights = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # 256 KB, whatever the data
     columns = columns or ["doc_id"]
-    rows = docs.select(*columns, *[c for c in ["text"] if c not in columns]).where("octet_length(text) > 0")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    rows = docs.select(*columns, F.col("text").alias("_loom_text")).where("octet_length(_loom_text) > 0")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, raw, offsets in pieces(batch.column("text")):
-                p = 1 / (1 + np.exp(-np.clip(score(raw, offsets, weights.value), -30, 30)))
-                keep = pa.array(p >= cut)
-                part = [batch.column(c).slice(at, end - at).filter(keep) for c in columns]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(p.round(6)).filter(keep)], [*columns, "score"])
+    def probability(text: pa.Array) -> pa.Array:
+        z = np.concatenate([score(raw, offsets, weights.value) for _, _, raw, offsets in pieces(text, PIECE)]) if len(text) else np.zeros(0)
+        return pa.array((1 / (1 + np.exp(-np.clip(z, -30, 30)))).round(6), pa.float64())
 
-    return map_batches(rows, run, f"{schema}, score double")
+    return text_score(rows, probability, "_loom_text", "score").where(F.col("score") >= cut).select(*columns, "score")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, licenses, line_dedup, minhash, mixing, packing, pii, quality, token_counts, topk
-from .common import read, read_wide
+from .common import read
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_tokens(read_wide(spark, sf_dir, "documents"))
+    return packing.pack_tokens(read(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read_wide(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,32 +27,27 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(read_wide(spark, sf_dir, "documents"))
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(read_wide(spark, sf_dir, "documents"))
+    return quality.classify(read(spark, sf_dir, "documents"))
 
 
 def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(read_wide(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return topk.top_k(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-def wrapped_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8 for notices wrapped over lines, which op8's SQL leaves out."""
-    return licenses.scan_wrapped(read_wide(spark, sf_dir, "documents"))
-
-
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(read_wide(spark, sf_dir, "documents"))
+    return pii.redact(read(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_wide(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_quality_classifier,
             op7_exact_topk_search,
             op8_license_scans,
-            wrapped_license_scans,
             op9_pii,
             op10_minhash_near_dedup,
             pipeline,
