@@ -155,61 +155,83 @@ def _compared(pairs: DataFrame, sigs: DataFrame, k: int, threshold: float) -> Da
     return _agreement(pairs.join(left, "a").join(right, "b"), k).where(F.col("similarity") >= threshold).select("a", "b")
 
 
-def _left_open(keys: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """a, b: all pairs that meet in a band and aren't in one group yet; of documents with equal signatures the least stands for all.
+def _within(rest: DataFrame, group: list[str]) -> DataFrame:
+    """a, b: the pairs of rest's rows of equal ``group`` whose roots differ."""
+    a, b = (rest.select(*group, F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    return a.join(b, group).where("ra < rb").select("a", "b")
+
+
+def _several(rows: DataFrame, group: list[str]) -> DataFrame:
+    """group, n: the groups of rows with several roots."""
+    return rows.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(*group, "n")
 
-    Only bands that hold several groups are looked at, so what is joined here is the chance meetings of different groups.
-    """
-    own = keys.join(roots, keys.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = written(own.join(mixed, "key"))
-    first = sigs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rest = rest.join(first, "doc_id", "left_semi")
-    a, b = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-    return a.join(b, "key").where("ra < rb").select("a", "b").distinct()
 
+def _left_open(keys: DataFrame, roots: DataFrame, sigs: DataFrame, k: int, threshold: float, small: int) -> DataFrame:
+    """a, b: all pairs that meet in a band, aren't in one group yet and can agree in ``threshold`` of their coordinates.
 
-def near_duplicates(docs: DataFrame, k: int = 128, bands: int = 32, threshold: float = 0.62) -> DataFrame:
+    Only bands that hold several groups are looked at. A band of at most ``small`` documents gives its pairs, at most half of
+    ``small`` for each of its rows. In a larger one, documents are sets of k (coordinate, value) tokens, and two that share
+    a = ceil(threshold k) of them share one among the first k - a + 1 of each in order of frequency, rarest first (the prefix
+    filter). So what many documents of a band have in common, as passages that they share, doesn't bring them together.
+    """
+    own = keys.join(roots, keys.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rest = written(own.join(_several(own, ["key"]), "key"))
+    pairs = _within(rest.where(F.col("n") <= small), ["key"])
+    large = rest.where(F.col("n") > small).drop("n")
+    if not large.isEmpty():
+        first = k - math.ceil(threshold * k - 1e-9) + 1
+        values = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.substring("sig", 4 * j + 1, 4))
+        tokens = large.join(sigs, "doc_id").select("key", "doc_id", "root", F.posexplode(values).alias("j", "v"))
+        seen = tokens.groupBy("key", "j", "v").agg(F.count(F.lit(1)).alias("seen"))
+        order = Window.partitionBy("key", "doc_id").orderBy("seen", "j", "v")
+        prefix = tokens.join(seen, ["key", "j", "v"]).withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= first) & (F.col("seen") > 1))
+        prefix = written(prefix.select("key", "j", "v", "doc_id", "root"))
+        pairs = pairs.unionByName(_within(prefix.join(_several(prefix, ["key", "j", "v"]), ["key", "j", "v"]), ["key", "j", "v"]))
+    return pairs.distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 128, bands: int = 32, threshold: float = 0.62, small: int = 64) -> DataFrame:
     """doc_id, duplicate_of for every document that has a near duplicate of lesser doc_id; duplicate_of is its group's least doc_id.
 
     Similarity is the weighted Jaccard of word pairs, weights 1 + ln(count), estimated from k DartMinHash coordinates. Documents
     that meet in any of ``bands`` bands are candidates; candidates whose estimate reaches ``threshold`` are joined, and groups
-    are the connected components of all of these, exactly. First each document of a band is held against the band's least doc_id
-    and against its predecessor, which joins a group of any size at two comparisons a document and band; then all candidates
-    that are still in different groups are compared, so no pair that could join two groups is left out. The
-    threshold lies below the 0.7 that counts as a near duplicate by about two standard errors, to keep recall.
-
-    A null doc_id, and null text or text without words: not compared, no row. Rows with the same doc_id are one document. No
-    documents, or no duplicates: no rows. Other columns are ignored.
+    are the connected components of all of these, exactly. Documents of equal signature are one, named by the least of them, from
+    the first shuffle on, so copies never meet in bands. First each document of a band is held against the band's least
+    one, which joins most of a group of any size at a comparison a document and band; then all candidates that are still in
+    different groups are compared (``_left_open``), so no pair that could join two groups is left out. The threshold
+    lies below the 0.7 that counts as a near duplicate by about two standard errors, to keep recall.
+
+    A null doc_id, and null text or text without words: not compared, no row. Rows with the same doc_id are one document. A text
+    of any length has a signature of k coordinates. No documents, or no duplicates: no rows. Other columns are ignored.
     """
     if k % bands:
         raise ValueError("bands must divide k")
     sigs = written(signatures(docs, k))
-    keys = band_keys(sigs, bands, k // bands)
-    w = Window.partitionBy("key").orderBy("doc_id")
-    meets = keys.select(
-        F.col("doc_id").alias("a"),
-        F.first("doc_id").over(w).alias("least"),
-        F.lag("doc_id").over(w).alias("last"),
-    ).where("last is not null")
-    pairs = meets.select("a", F.explode(F.array_distinct(F.array("least", "last"))).alias("b")).where("a <> b").distinct()
-    roots = components(_compared(pairs, sigs, k, threshold))
-    more = written(_compared(_left_open(keys, roots, sigs), sigs, k, threshold))
+    named = sigs.select("doc_id", F.xxhash64("sig").alias("c1"), F.xxhash64(F.lit(1), "sig").alias("c2"))
+    classes = written(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    copies = named.join(classes.where("n > 1").select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    reps = written(sigs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    keys = band_keys(reps, bands, k // bands)
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").select("key", "b")
+    pairs = keys.select(F.col("doc_id").alias("a"), "key").join(least, "key").where("a <> b").select("a", "b").distinct()
+    roots = components(_compared(pairs, reps, k, threshold))
+    more = written(_compared(_left_open(keys, roots, reps, k, threshold, small), reps, k, threshold))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    found = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    again = copies.join(roots, copies.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("duplicate_of"))
+    return found.unionByName(again)
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs without near duplicates of others: of each group the least doc_id stays, and repeated doc_ids stay once.
+    """The rows of docs without near duplicates of others: of each group the least doc_id stays, and equal rows of it stay once.
 
-    Of rows with equal doc_id the one of least text stays (nulls first). Rows with a null doc_id, or without words, stay.
+    Rows of equal doc_id and different texts are one document: all stay or all go. Rows with a null doc_id, or without words, stay.
     """
     gone = near_duplicates(docs, **parameters).select("doc_id")
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti")
     twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
         return left.select(*docs.columns)
-    w = Window.partitionBy("doc_id").orderBy("text")
-    again = left.join(twice, "doc_id", "left_semi").withColumn("_loom_nth", F.row_number().over(w)).where("_loom_nth = 1").drop("_loom_nth")
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomspark.llm.kernels import string_parts
 from loomspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, signatures, weighted_pairs
@@ -72,7 +73,8 @@ def test_recall_and_groups(documents):
     assert kept == [i for i in range(n) if root[i] == i]
 
 
-def test_all_candidates_count(spark, documents):
+@pytest.mark.parametrize("small", [64, 2])
+def test_all_candidates_count(spark, documents, small):
     """Against the components of all pairs that share a band and agree enough, compared one by one."""
     r = random.Random(15)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -97,7 +99,7 @@ def test_all_candidates_count(spark, documents):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = {i: find(i) for i in sig if find(i) != i}
-    assert {x.doc_id: x.duplicate_of for x in near_duplicates(documents(rows), k, bands, threshold).collect()} == want and len(set(want.values())) > 3
+    assert {x.doc_id: x.duplicate_of for x in near_duplicates(documents(rows), k, bands, threshold, small).collect()} == want and len(set(want.values())) > 3
 
 
 def test_components_of_a_long_chain(spark):
@@ -113,6 +115,6 @@ def test_edges(documents):
     kept = keep_one(docs)
     assert kept.columns == docs.columns
     ids = [(x.doc_id, x.text) for x in kept.collect()]
-    assert ids.count((7, "another text of the same id")) == 1 and (7, "same row") not in ids
+    assert ids.count((7, "another text of the same id")) == 1 and ids.count((7, "same row")) == 1
     assert (None, None) in ids and (2, None) in ids and (3, "") in ids and (40, "word") not in ids
     assert near_duplicates(documents([])).collect() == [] and keep_one(documents([])).collect() == []
