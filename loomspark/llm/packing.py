@@ -64,11 +64,11 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, docs_per_sh
     Lengths are ``token_col`` or four bytes of text a token. A document longer than ``capacity`` is cut into full
     pieces, each a bin of its own, and a remainder that is packed like any other. Shards pack independently (one
     for each ``docs_per_shard`` documents, by hash of doc_id), in the order doc_id, length; a bin is named by
-    (shard, bin). State is ``open_bins`` bins a shard however large the shard is.
+    (shard, bin). State is ``open_bins`` bins a shard however large the shard is; a shard is a task, which isn't merged with others.
 
     Null or empty text, or no tokens: no row. A null doc_id is packed as a document without an id (first in its
     shard). Repeated rows are packed once each; ties in order are rows of the same id and length, whose places
-    are interchangeable. No documents: no rows. Other columns are ignored.
+    are interchangeable. A text of any length is cut into pieces. No documents: no rows. Other columns are ignored.
     """
     tokens = F.col(token_col).cast("long") if token_col else token_estimate(F.col("text"))
     shards = max(1, -(-docs.count() // docs_per_shard))
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, capacity: int = 2048, open_bins: int = 64, docs_per_sh
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
 
-    return map_batches(sized.repartition("shard").sortWithinPartitions("shard", "doc_id", "n"), run, SCHEMA)
+    return map_batches(sized.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n"), run, SCHEMA)
 
 
 def pack_tokens(docs: DataFrame, **parameters) -> DataFrame:

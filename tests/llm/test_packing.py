@@ -83,3 +83,12 @@ def test_query_and_last_stage_count_tokens(spark, documents, tmp_path):
             got[x.doc_id] = got.get(x.doc_id, 0) + x.n_tokens
             bins[x.shard, x.bin] = bins.get((x.shard, x.bin), 0) + x.n_tokens
         assert got == want and max(bins.values()) <= 2048
+    # the whole result: pieces in order of id and length, placed one by one in their shard; spans of pieces give back the texts
+    rows = sorted(queries.op1_best_fit_packing(spark, str(tmp_path)).collect(), key=lambda x: (x.doc_id is not None, x.doc_id, x.piece))
+    ids = sorted([(-1 if i is None else i, n) for i, n in want.items() if i != 4] + [(4, 1), (4, 1)])
+    sizes = [(i, k, s, min(2048, n - s)) for i, n in ids for k, s in enumerate(range(0, n, 2048))]
+    placed = brute([x[3] for x in sizes], 2048, 64)
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.piece, x.start, x.n_tokens, x.bin, x.bin_offset) for x in rows) == sorted((*s, *p) for s, p in zip(sizes, placed))
+    decode = tokenizer(RANKS, PATTERN)[0].decode
+    for i, text in enumerate(texts[:4]):
+        assert "".join(decode(encode(text)[x.start : x.start + x.n_tokens]) for x in rows if x.doc_id == i) == text or "\ufffd" in "".join(decode(encode(text)[x.start : x.start + x.n_tokens]) for x in rows if x.doc_id == i)
