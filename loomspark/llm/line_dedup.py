@@ -39,7 +39,9 @@ def covered(docs: DataFrame) -> DataFrame:
     """doc_id, th, and the positions (from 0) of the lines to remove, sorted and distinct.
 
     A window that occurs more than once keeps its first occurrence (least doc_id, th, pos); every line of every later one is
-    covered, also where windows overlap.
+    covered, also where windows overlap. The windows are made twice rather than shuffled once as they are: counts are summed
+    before the shuffle, so a window that a third of all documents share is a row a task there, and in the join with the
+    first occurrences the skewed side is split.
     """
     w = windows(docs)
     first = w.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "pos")).alias("f")).where("c > 1")
@@ -52,14 +54,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The columns of documents with repeated passages removed from text, n_chars brought up to date, and n_removed lines.
 
     A document that loses all its lines keeps its row, with empty text. Fewer than three lines hold no window: unchanged. Lines
-    are compared exactly. Windows of blank lines only don't count. A null text or doc_id passes through unchanged. Rows
+    are compared by two independent hashes, 96 bits in all. Windows of blank lines only don't count. A text of any length is one row. A null text or doc_id passes through unchanged. Rows
     with equal doc_id and text are one document given twice: they don't make a window repeated beyond its first
     place, and get the same result; rows with equal doc_id and different texts are different documents. No
     documents: no rows. Columns beyond those of documents are dropped.
     """
     keep = [c for c in DOC_COLUMNS if c in docs.columns]
     docs = docs.select(*keep)
-    gone = covered(docs).hint("shuffle_hash")
+    gone = covered(docs)
     d = docs.withColumn("th", F.xxhash64("text"))
     joined = d.join(gone, (d.doc_id == gone.doc_id) & (d.th == gone.th), "left").select(*[d[c] for c in keep], "gone")
     split = joined.withColumn("ls", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
