@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, token_estimate
+from .common import DOC_COLUMNS, token_estimate, written
 
 BLOCK, SHARD, BUDGET, SEED = 4096, 4_000_000, 0.7, "mix-1"
 
@@ -22,12 +22,12 @@ def _number(draw: Column) -> Column:
 def quotas(supply: DataFrame, weights: DataFrame, budget: float) -> DataFrame:
     """shard, src, quota from supply (shard, src, available) and weights (src, weight).
 
-    In each shard floor(budget x blocks) blocks go one by one to the source of highest quotient weight / (2 got + 1), the least
+    In each shard floor(budget x blocks) blocks, one at least, go one by one to the source of highest quotient weight / (2 got + 1), the least
     name among equals; a source whose blocks are all taken drops out, so weights are met as far as supply allows.
     """
     seats = supply.join(weights, "src").where("weight > 0").select("shard", "src", "available", "weight", F.explode(F.sequence(F.lit(0), F.col("available") - 1)).alias("got"))
     order = Window.partitionBy("shard").orderBy(F.desc(F.col("weight") / (2 * F.col("got") + 1)), "src", "got")
-    limit = supply.groupBy("shard").agg(F.floor(F.sum("available") * F.lit(budget)).alias("seats"))
+    limit = supply.groupBy("shard").agg(F.greatest(F.lit(1), F.floor(F.sum("available") * F.lit(budget))).alias("seats"))
     ranked = seats.withColumn("nth", F.row_number().over(order)).join(limit, "shard").where("nth <= seats")
     return ranked.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("quota"), F.first("available").alias("available"))
 
@@ -46,32 +46,36 @@ def mix_sources(
     shard, each source's documents in seeded order fill blocks of ``block`` tokens; a document belongs to the block in which it
     begins. ``quotas`` apportions each shard's blocks to its sources; of a source's blocks, which come in seeded order, its
     quota is taken from a seeded start on, cyclically. Target weights are given, or the square root of each source's share
-    of all tokens. Sources without a given weight get nothing. The window that numbers blocks holds one source of one
-    shard, so a source of any size spreads over all shards.
+    of all tokens. Sources without a given weight get nothing, and a shard that has documents gives one block at least. The
+    window that numbers blocks holds one source of one shard, so a source of any size spreads over all shards; it sees ids,
+    draws and counts alone. Texts are shuffled once, by document, to meet the documents chosen.
 
     Tokens are four bytes of text. Null or empty text has none: dropped. A null source is the source ''. A null doc_id counts as
-    the id 'null'. Repeated rows are separate documents of equal place in the order, which doesn't matter as they are equal. No
-    documents: no rows. Columns beyond those of documents are dropped.
+    the id 'null'. Rows of equal doc_id, source and text begin in the same block and stay or go together; each counts. A text
+    longer than a block fills all the blocks up to its end. No documents: no rows. Columns beyond those of documents are dropped.
     """
     keep = [c for c in DOC_COLUMNS if c in docs.columns]
-    d = docs.select(*keep).where("octet_length(text) > 0")
-    d = d.withColumn("n_tokens", token_estimate(F.col("text"))).withColumn("src", F.coalesce("source", F.lit("")))
-    per_source = d.groupBy("src").agg(F.sum("n_tokens").alias("tokens"))
+    d = docs.select(*keep).where("octet_length(text) > 0").withColumn("th", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit("")))
+    d = d.withColumn("n_tokens", token_estimate(F.col("text")))
+    n = d.groupBy("doc_id", "th", "src", "n_tokens").agg(F.count(F.lit(1)).alias("rows")).withColumn("tokens", F.col("rows") * F.col("n_tokens"))
+    n = n.withColumn("draw", _draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    n = written(n)
+    per_source = n.groupBy("src").agg(F.sum("tokens").alias("tokens"))
     total = per_source.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // tokens_per_shard))
     if weights is None:
         target = per_source.select("src", F.sqrt(F.col("tokens") / F.lit(float(max(total, 1)))).alias("weight"))
     else:
         target = docs.sparkSession.createDataFrame(sorted((k, float(v)) for k, v in weights.items()), "src string, weight double")
-    d = d.withColumn("draw", _draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = d.withColumn("shard", (_number(F.col("draw")) % shards).cast("int"))
-    supply = d.groupBy("shard", "src").agg(F.ceil(F.sum("n_tokens") / block).cast("int").alias("available"))
+    n = n.withColumn("shard", (_number(F.col("draw")) % shards).cast("int"))
+    supply = n.groupBy("shard", "src").agg(F.ceil(F.sum("tokens") / block).cast("int").alias("available"))
     quota = quotas(supply, target, budget)
-    place = Window.partitionBy("shard", "src").orderBy("draw", "doc_id", "n_tokens", "text").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(place), F.lit(0)) / block).cast("int"))
+    place = Window.partitionBy("shard", "src").orderBy("draw", "doc_id", "n_tokens", "th").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("block", F.floor(F.coalesce(F.sum("tokens").over(place), F.lit(0)) / block).cast("int"))
     begin = _number(_draw(F.lit(seed), F.col("shard"), F.col("src"))) % F.col("available")
-    chosen = d.join(quota, ["shard", "src"]).where((F.col("block") - begin + F.col("available")) % F.col("available") < F.col("quota"))
-    return chosen.select(*keep, "shard", "block", "n_tokens")
+    chosen = n.join(quota, ["shard", "src"]).where((F.col("block") - begin + F.col("available")) % F.col("available") < F.col("quota"))
+    chosen = chosen.select(F.col("doc_id").alias("_loom_id"), "th", "src", "shard", "block")
+    return d.join(chosen, (d.doc_id.eqNullSafe(chosen._loom_id)) & (d.th == chosen.th) & (d.src == chosen.src)).select(*keep, "shard", "block", "n_tokens")
 
 
 ORACLE = f"""
@@ -85,7 +89,7 @@ b as (select *, cast(floor(coalesce(sum(n_tokens) over (partition by shard, src
 s as (select shard, src, cast(ceil(sum(n_tokens) / {BLOCK}) as int) available from e group by shard, src),
 q as (select shard, src, available, row_number() over (partition by shard order by weight / (2 * got + 1) desc, src, got) nth
       from (select s.*, weight, unnest(range(available)) got from s join w using (src))),
-l as (select shard, floor(sum(available) * {BUDGET}) seats from s group by shard),
+l as (select shard, greatest(1, floor(sum(available) * {BUDGET})) seats from s group by shard),
 n as (select shard, src, any_value(available) available, count(*) quota from q join l using (shard) where nth <= seats group by shard, src),
 c as (select b.*, available, quota, cast('0x' || substr(md5('{SEED}:' || shard || ':' || src), 1, 8) as bigint) % available as st from b join n using (shard, src))
 select doc_id, text, lang, source, n_chars, shard, block, n_tokens from c where (block - st + available) % available < quota

@@ -45,4 +45,11 @@ def test_edges(documents):
     ids = [x.doc_id for x in out.collect()]
     assert sorted(ids, key=str) == sorted([1, None, 4, 5, 6, 7, 7, 8, 9], key=str)
     assert mix_sources(docs, {"s": 0.0}).collect() == []
+    # a shard of one block gives it, and repeated rows go together
+    assert [x.doc_id for x in mix_sources(documents([(1, "one small text")])).collect()] == [1]
+    many = documents([(i, "x" * 300) for i in range(100) for _ in range(2)])
+    taken = [x.doc_id for x in mix_sources(many, block=500, budget=0.3).collect()]
+    assert 0 < len(set(taken)) < 100 and all(taken.count(i) == 2 for i in set(taken))
+    long = mix_sources(documents([(1, "x" * 2_000_000), (2, "y" * 100)]), block=500, budget=1.0).collect()
+    assert {x.doc_id for x in long} == {1, 2}
     assert mix_sources(documents([])).collect() == []
