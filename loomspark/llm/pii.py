@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,26 +18,38 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "ID")
-_G = {
-    "EMAIL": [r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"],
+EMAIL = [r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]+)+"]
+NUMERIC = {
     "PHONE": [
         r"(?<![\w+])\+?\d{0,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
         r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)",
         r"(?<![\w.])0\d{1,4}(?:[ /.-]\d{2,4}){1,4}(?!\d)",
     ],
     "CARD": [r"(?<!\d)\d{12,19}(?!\d)", r"(?<!\d)\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?!\d)", r"(?<!\d)3\d{3}[ -]\d{6}[ -]\d{5}(?!\d)"],
-    "IP": [r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?!\.?\d)", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"],
-    "SECRET": [
-        r"(?i:(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"']{6,})",
-        r"(?<![A-Za-z0-9])[A-Z]{2,5}[A-Z0-9]{14,}(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{2,12}[_-][A-Za-z0-9]{20,}(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])[0-9a-fA-F]{16,}(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])",
-    ],
-    "ID": [r"(?<![\d-])\d{3}[ -]\d{2}[ -]\d{4}(?![\d-])", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"],
+    "IP": [r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?!\.?\d)"],
+    "ID": [r"(?<![\d-])\d{3}[ -]\d{2}[ -]\d{4}(?![\d-])"],
 }
-GENERATORS = [(kind, re.compile(p)) for kind in KINDS for p in _G[kind]]
-ANY = "[0-9@=:]"  # every candidate has one of these, or is a long run of letters
+RUNS = [
+    r"(?<![A-Za-z0-9])[A-Z]{2,5}[A-Z0-9]{14,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{2,12}[_-][A-Za-z0-9]{20,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[0-9a-fA-F]{16,}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])",
+]
+NAMED = [r"(?i:(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"']{6,})"]
+COLONS = [r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"]
+BANK = [r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"]
+
+
+def _compiled(kind: str, patterns: list[str]) -> list[tuple[int, re.Pattern]]:
+    return [(KINDS.index(kind), re.compile(p)) for p in patterns]
+
+
+_EMAIL, _RUNS, _NAMED, _COLONS, _BANK = _compiled("EMAIL", EMAIL), _compiled("SECRET", RUNS), _compiled("SECRET", NAMED), _compiled("IP", COLONS), _compiled("ID", BANK)
+_NUMERIC = [x for kind, patterns in NUMERIC.items() for x in _compiled(kind, patterns)]
+GENERATORS = [*_EMAIL, *_NUMERIC, *_RUNS, *_NAMED, *_COLONS, *_BANK]
+_DIGITS, _RUN = re.compile(r"\d++"), re.compile(r"[A-Za-z0-9+/_-]{16,}+")
+GAP = 4  # the digits of a numeric candidate are at most three other characters apart
+ANY = r"[\p{Nd}@=:]"  # every candidate has one of these, or is a long run of letters
 LONG = "[A-Za-z+/_-]{16}"
 _CONTEXT = [
     re.compile(p, re.I)
@@ -63,10 +76,34 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Where numeric candidates can be: runs of digits at most ``GAP`` apart, with as much around them."""
+    out: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text):
+        a, b = m.start() - GAP, m.end() + GAP
+        if out and a - GAP <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((max(0, a), b))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind number), distinct; spans of different generators may overlap."""
-    found = {(*(m.span(1) if p.groups else m.span()), KINDS.index(kind)) for kind, p in GENERATORS for m in p.finditer(text)}
-    return sorted(found)
+    """(start, end, kind number), distinct; spans of different generators may overlap.
+
+    Each generator looks only where what it needs is; that finds what it would find in the whole text, in time that is linear in it.
+    """
+    jobs = [(_EMAIL, 0, len(text))] if "@" in text else []
+    windows = _windows(text)
+    jobs += [(_NUMERIC, a, b) for a, b in windows]
+    jobs += [(_RUNS, m.start(), m.end() + 3) for m in _RUN.finditer(text)]
+    if ":" in text or "=" in text:
+        jobs.append((_NAMED, 0, len(text)))
+        if text.count(":") >= 3:
+            jobs.append((_COLONS, 0, len(text)))
+    if windows:
+        jobs.append((_BANK, 0, len(text)))
+    return sorted({(*(m.span(1) if p.groups else m.span()), kind) for generators, a, b in jobs for kind, p in generators for m in p.finditer(text, a, min(b, len(text)))})
 
 
 def features(text: str, start: int, end: int, kind: int) -> list[float]:
@@ -77,7 +114,7 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
     counts = Counter(s)
     before, after = text[max(0, start - 28) : start], text[end : end + 2]
     numbers = re.findall(r"\d+", s)
-    octets = len(numbers) == 4 and s.count(".") == 3 and all(int(x) <= 255 and (x == "0" or x[0] != "0") for x in numbers)
+    octets = len(numbers) == 4 and s.count(".") == 3 and all(len(x) <= 3 and int(x) <= 255 and (x == "0" or x[0] != "0") for x in numbers)
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
     return [
         *[float(kind == k) for k in range(len(KINDS))],
@@ -257,8 +294,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.margin(x) + self.offset, -30, 30)))
 
 
-def fit(n: int = 8000, seed: int = 11, precision: float = 0.98) -> Model:
-    """Trees on two thirds of n synthetic candidates; on the rest, Platt's calibration and, by kind, the least threshold that reaches ``precision``."""
+def fit(n: int = 8000, seed: int = 11, precision: float = 0.98, least: float = 0.5) -> Model:
+    """Trees on two thirds of n synthetic candidates; on the rest, Platt's calibration and, by kind, the least threshold that reaches ``precision``.
+
+    What is likelier not to be personal data, of a calibrated probability below ``least``, is never chosen.
+    """
     rows, y = synthetic(n, seed)
     x = np.array([features(*r) for r in rows])
     kind = np.array([r[3] for r in rows])
@@ -277,7 +317,7 @@ def fit(n: int = 8000, seed: int = 11, precision: float = 0.98) -> Model:
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-9:
             break
-    model = Model(trees, a, b, np.full(len(KINDS), 0.5))
+    model = Model(trees, a, b, np.full(len(KINDS), least))
     p = model.probability(x[held])
     for k in range(len(KINDS)):
         mine = kind[held] == k
@@ -285,23 +325,39 @@ def fit(n: int = 8000, seed: int = 11, precision: float = 0.98) -> Model:
             order = np.argsort(-p[mine])
             right = np.cumsum(t[mine][order]) / np.arange(1, mine.sum() + 1)
             good = np.flatnonzero(right >= precision)
-            if len(good):
-                model.thresholds[k] = min(0.9, max(0.2, p[mine][order][good[-1]] - 1e-6))
+            if len(good) and good[-1] + 1 < mine.sum():  # else all candidates together are precise enough
+                model.thresholds[k] = max(least, p[mine][order][good[-1]] - 1e-6)
     return model
 
 
-def select(text: str, model: Model) -> list[tuple[int, int, str, float]]:
-    """The spans to redact, by start: of overlapping ones the most probable, then the longest, then the first stays."""
-    found = candidates(text)
-    if not found:
-        return []
-    p = model.probability(np.array([features(text, *c) for c in found]))
-    chosen: list[tuple[int, int, str, float]] = []
-    for i in sorted(range(len(found)), key=lambda i: (-round(float(p[i]), 6), found[i][0] - found[i][1], found[i])):
+def chosen(found: list[tuple[int, int, int]], p: list[float], thresholds: np.ndarray) -> list[tuple[int, int, str, float]]:
+    """Of the candidates that reach their threshold: of overlapping ones the most probable, then the longest, then the first. By start."""
+    starts: list[int] = []
+    out: list[tuple[int, int, str, float]] = []
+    for i in sorted(range(len(found)), key=lambda i: (-round(p[i], 6), found[i][0] - found[i][1], found[i])):
         start, end, kind = found[i]
-        if p[i] >= model.thresholds[kind] and all(end <= a or start >= b for a, b, _, _ in chosen):
-            chosen.append((start, end, KINDS[kind], round(float(p[i]), 6)))
-    return sorted(chosen)
+        at = bisect_left(starts, start)
+        if p[i] >= thresholds[kind] and (at == len(out) or out[at][0] >= end) and (not at or out[at - 1][1] <= start):
+            starts.insert(at, start)
+            out.insert(at, (start, end, KINDS[kind], round(p[i], 6)))
+    return out
+
+
+def select_all(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float]]]:
+    """The spans to redact of each text, by start; the candidates of all texts are scored at once."""
+    found = [candidates(text) for text in texts]
+    rows = [features(text, *c) for text, cs in zip(texts, found) for c in cs]
+    p = model.probability(np.array(rows)).tolist() if rows else []
+    out, at = [], 0
+    for cs in found:
+        out.append(chosen(cs, p[at : at + len(cs)], model.thresholds))
+        at += len(cs)
+    return out
+
+
+def select(text: str, model: Model) -> list[tuple[int, int, str, float]]:
+    """The spans to redact, by start."""
+    return select_all([text], model)[0]
 
 
 def redacted(text: str, spans: list[tuple[int, int, str, float]]) -> str:
@@ -321,18 +377,20 @@ def redact(docs: DataFrame, n_train: int = 8000, seed: int = 11, precision: floa
     ``precision``, select. Documents without a redaction stay as they are and have no row.
 
     Null and empty text: no row. A null doc_id is carried. Repeated rows: a result each. Equal probabilities go by length, then
-    start. No documents: no rows. Other columns are ignored.
+    start. Work is linear in a text's length, whatever stands in it. Digits of any script count. No documents: no rows. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(n_train, seed, precision))  # some KB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("p", pa.float64())]))
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if spans := select(text, model.value):
-                    rows.append((doc_id, len(spans), [dict(zip(("start", "end", "kind", "p"), s)) for s in spans], redacted(text, spans)))
-            if rows:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                given = part.column("text").to_pylist()
+                found = zip(part.column("doc_id").to_pylist(), given, select_all(given, model.value))
+                rows = [(doc_id, len(spans), [dict(zip(("start", "end", "kind", "p"), s)) for s in spans], redacted(text, spans)) for doc_id, text, spans in found if spans]
+                if not rows:
+                    continue
                 ids, n, spans, texts = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(spans, kind), pa.array(texts, pa.string())], ["doc_id", "n_redactions", "spans", "text"])
 

@@ -1,7 +1,11 @@
+import random
+import time
+
 import numpy as np
 import pytest
 
 from loomspark.llm import pii as P
+from loomspark.llm import queries
 
 from .conftest import edge_rows
 
@@ -51,6 +55,45 @@ def test_selection(model):
         assert P.select(clean, model) == [], clean
 
 
+def test_generators_find_what_they_would_in_the_whole_text():
+    whole = lambda text: sorted({(*(m.span(1) if p.groups else m.span()), k) for k, p in P.GENERATORS for m in p.finditer(text)})
+    r = random.Random(2)
+    texts = {row[0] for row in P.synthetic(1000, 5)[0]} | {"".join(r.choice("0123456789+-. ()/:=@aFZ_ \n٣") for _ in range(r.randint(5, 80))) for _ in range(4000)}
+    for text in texts:
+        assert P.candidates(text) == whole(text)
+
+
+def brute_select(text, model):
+    """Candidate by candidate, each held against all chosen before."""
+    found = [(float(model.probability(np.array([P.features(text, *c)]))[0]), c) for c in P.candidates(text)]
+    out = []
+    for p, (a, b, k) in sorted(found, key=lambda x: (-round(x[0], 6), x[1][0] - x[1][1], x[1])):
+        if p >= model.thresholds[k] and all(b <= c or a >= d for c, d, _, _ in out):
+            out.append((a, b, P.KINDS[k], round(p, 6)))
+    return sorted(out)
+
+
+def test_query_matches_brute_force(documents, spark, tmp_path, model):
+    r = random.Random(8)
+    bodies = [row[0] for row in P.synthetic(600, 17)[0]]
+    rows = [(i, " ".join(r.sample(bodies, r.randint(0, 6)))) for i in range(150)] + edge_rows()
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_id, x.text): (x.n_redactions, [tuple(s) for s in x.spans]) for x in queries.op9_pii(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text, *_ in rows:
+        if text and (spans := brute_select(text, model)):
+            want[i, P.redacted(text, spans)] = (len(spans), spans)
+    assert got == want and len(got) > 80
+
+
+def test_long_texts_take_linear_time(model):
+    began = time.monotonic()
+    for text in ("a" * 2_000_000 + " 1", "a@" * 1_000_000, "7" * 2_000_000, "1 " * 500_000, "token=" * 300_000, "a:" * 500_000, "a.b-" * 500_000):
+        assert P.select(text, model) == []
+    assert P.select("password=" + "9" * 6000 + ".1.1.1", model)
+    assert time.monotonic() - began < 60
+
+
 def test_edges(documents):
     rows = edge_rows() + [(70, "a@b.example.com " * 3), (70, "a@b.example.com " * 3), (None, "x 10.20.30.40 y"), (71, "9" * 50_000), (72, "a@" * 20_000), (73, "1 " * 30_000)]
     out = P.redact(documents(rows, extra=True)).collect()
