@@ -9,6 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,13 +133,68 @@ def expression_column(text: str, names: tuple[str, ...] = ()) -> Column:
 
 
 DENIED = "insert update delete drop alter create truncate replace attach detach grant revoke".split()
+DENIED_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database current_schema version".split())
+FORMATS = frozenset("parquet csv json orc text avro xml binaryfile delta jdbc".split())
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+@dataclass
+class Used:
+    """What a parsed query names: tables (as dotted lower-case names), functions, and whatever can't be checked."""
+
+    tables: dict[str, None] = field(default_factory=dict)
+    functions: dict[str, None] = field(default_factory=dict)
+    unchecked: list[str] = field(default_factory=list)
+
+
+def used_by(spark: SparkSession, sql: str) -> Used:
+    """Names in the parsed query. A WITH name hides a table only where it is visible: after its definition, in its own query."""
+    out, gateway = Used(), spark.sparkContext._gateway
+
+    def expression(e, scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            out.functions[".".join(_items(e.nameParts())).lower()] = None
+        elif "UnresolvedIdentifier" in kind:
+            out.unchecked.append("IDENTIFIER()")
+        if is_instance_of(gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            plan(e.plan(), scope)
+        for c in _items(e.children()):
+            expression(c, scope)
+
+    def plan(node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            recursive = node.allowRecursion()
+            for cte in _items(node.cteRelations()):
+                name = cte._1().lower()
+                plan(cte._2(), scope | {name} if recursive else scope)
+                scope |= {name}
+        elif kind == "UnresolvedRelation":
+            parts = [x.lower() for x in _items(node.multipartIdentifier())]
+            if len(parts) > 1 or parts[0] not in scope:
+                out.tables[".".join(parts)] = None
+        elif kind == "ScriptTransformation" or "TableValuedFunction" in kind or "UnresolvedIdentifier" in kind or "Command" in kind:
+            out.unchecked.append(kind)
+        for e in _items(node.expressions()):
+            expression(e, scope)
+        for c in _items(node.children()):
+            plan(c, scope)
+
+    plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
+    return out
 
 
 @dataclass
 class GuardedSql:
     """Read-only SQL with allow-lists, a row limit and a time budget; every call can be audited.
 
-    Tables come from the parsed plan and columns are refused by the analyser, so aliases, subqueries and expressions can't hide them.
+    Tables and functions come from the parsed plan, each WITH name in its own scope, and columns are refused by the analyser, so
+    aliases, subqueries and expressions can't hide them. Functions are the built-in ones but for those that reach outside
+    the query (``DENIED_FUNCTIONS``), and ``functions``. Scripts, table functions, files as tables and computed names are refused.
     """
 
     spark: SparkSession
@@ -147,6 +203,7 @@ class GuardedSql:
     max_rows: int = 200
     max_ms: int = 2500
     audit: Callable[[dict], None] | None = None
+    functions: tuple[str, ...] = ()
 
     def check_text(self, sql: str) -> str:
         flat = " ".join(sql.split()).lower()
@@ -161,15 +218,27 @@ class GuardedSql:
                 raise InvalidArgument(f"forbidden keyword: {word}")
         return flat
 
+    def check_names(self, sql: str) -> list[str]:
+        """The tables that the query reads, if it may."""
+        used = used_by(self.spark, sql)
+        if used.unchecked:
+            raise InvalidArgument(f"not allowed: {used.unchecked[0]}")
+        jvm = self.spark._jvm.org.apache.spark.sql.catalyst
+        own = {f.lower() for f in self.functions}
+        for f in used.functions:
+            if f in DENIED_FUNCTIONS or (f not in own and not jvm.analysis.FunctionRegistry.builtin().functionExists(jvm.FunctionIdentifier(f))):
+                raise InvalidArgument(f"function not allowed: {f}")
+        policies = {t.lower() for t in self.columns or {}}
+        for t in used.tables:
+            qualified = "." in t and t.rpartition(".")[2] in policies
+            if (self.tables is not None and t not in {x.lower() for x in self.tables}) or t.partition(".")[0] in FORMATS or qualified:
+                raise InvalidArgument(f"table not allowed: {t}")
+        return list(used.tables)
+
     def frame(self, sql: str, params: dict | None = None) -> DataFrame:
         """The query's DataFrame, once it has passed the guard; not limited."""
         flat = self.check_text(sql)
-        tree = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
-        ctes = {c.strip().lower() for m in re.findall(r"\bCTE \[([^\]]*)\]", tree) for c in m.split(",")}
-        named = [t for t in dict.fromkeys(x.replace(", ", ".").lower() for x in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", tree)) if t not in ctes]
-        for t in named:
-            if self.tables is not None and t not in {x.lower() for x in self.tables}:
-                raise InvalidArgument(f"table not allowed: {t}")
+        named = self.check_names(sql)
         seen = {t: c for t, c in (self.columns or {}).items() if t.lower() in named}
         if seen and re.search(r"\bselect\s+(?:distinct\s+)?(?:\w+\s*\.\s*)?\*", flat):
             raise InvalidArgument("wildcards are not allowed with a column policy")
@@ -210,8 +279,9 @@ class Tool:
     call: Callable[[dict], str]
 
 
-def _show(df: DataFrame, columns: list[str] | None = None) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in (df.select(*columns) if columns else df).collect()], ensure_ascii=False, default=str)
+def _show(df: DataFrame, columns: list[str] | None = None, most: int = 1000) -> str:
+    """A tool's rows as JSON, for a reader; the first ``most`` of them."""
+    return json.dumps([r.asDict(recursive=True) for r in (df.select(*columns) if columns else df).limit(most).collect()], ensure_ascii=False, default=str)
 
 
 def standard_tools(explorer=None, geo=None, qa=None, sql: GuardedSql | None = None, get: Callable[[str], str] | None = None, hosts: list[str] | None = None) -> dict[str, Tool]:
