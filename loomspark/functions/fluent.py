@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -76,6 +76,27 @@ class Text:
 
         return detect_language(self.column)["language"]
 
+    def language_with_score(self) -> Column:
+        from ..operators.nlp import detect_language
+
+        return detect_language(self.column)
+
+    def keywords(self, top: int = 10) -> Column:
+        from ..operators.nlp import keywords
+
+        return keywords(self.column, top)
+
+    def entities(self, tagger=None) -> Column:
+        from ..operators.nlp import entities
+
+        return entities(self.column, tagger)
+
+    def semantics(self, df: DataFrame, explorer) -> DataFrame:
+        """word, definition, synonyms for each distinct word that the column holds in df, by a ``SemanticExplorer``'s tables."""
+        from ..operators.nlp import word_semantics
+
+        return word_semantics(df.select(self.column.alias("word")), explorer.definitions, explorer.words, explorer.synsets)
+
     def pos_tags(self, language: str = "en") -> Column:
         from ..operators.nlp import pos_tags
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import retrieval as R
-from .nlp import NerTagger
+from .nlp import NerTagger, per_text
 
 SOURCE_SCHEMA = "doc_id string, text string, source string, tag string, date string"
 
@@ -164,6 +165,26 @@ def glossary_terms(docs: DataFrame, top: int = 12, text: str = "text", least: in
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(max(1, top))
 
 
+def regex_matches(docs: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
+    """key, nth, start, end, match of all matches of a pattern in each text, with offsets in characters."""
+    sought = regex.compile(pattern)
+    return per_text(docs, key, text, lambda t: [(i, *m.span(), m[0]) for i, m in enumerate(sought.finditer(t))], "nth int, start int, end int, match string")
+
+
+def format_table(rows: list[dict]) -> str:
+    """Rows as a table of text, with the columns of the first."""
+    if not rows:
+        return "(empty)"
+    names = list(rows[0])
+    cells = [names, ["---"] * len(names), *[["" if r.get(n) is None else str(r[n]) for n in names] for r in rows]]
+    return "\n".join(" | ".join(c) for c in cells)
+
+
+def format_citations(hits: list[dict]) -> str:
+    """doc_id:start-end of each hit."""
+    return ", ".join(f"{h['doc_id']}:{int(h['start'])}-{int(h['end'])}" for h in hits) or "No citations."
+
+
 class Explorer:
     """Sources and chunks as DataFrames; changed documents replace their chunks only."""
 
@@ -172,6 +193,7 @@ class Explorer:
         self.tagger = tagger or NerTagger()
         self.sources = spark.createDataFrame([], SOURCE_SCHEMA)
         self._chunks: DataFrame | None = None
+        self._entities: DataFrame | None = None
         self._dirty: set[str] = set()
 
     def add(self, docs: DataFrame):
@@ -200,6 +222,8 @@ class Explorer:
 
     @property
     def chunks(self) -> DataFrame:
+        if self._chunks is None or self._dirty:
+            self._entities = None
         if self._chunks is None:
             self._chunks = self._chunk(self.sources)
         elif self._dirty:
@@ -225,16 +249,19 @@ class Explorer:
         return self.sources.where(F.col("doc_id") == doc_id).select("doc_id", text.alias("text"))
 
     def regex(self, pattern: str, limit: int = 50) -> DataFrame:
-        """doc_id, nth, match."""
-        hits = self.sources.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("nth", "match"))
-        return hits.orderBy("doc_id", "nth").limit(limit)
+        """doc_id, nth, start, end, match of the first ``limit`` matches, with offsets in characters."""
+        return regex_matches(self.sources, "doc_id", pattern).orderBy("doc_id", "nth").limit(limit)
 
     def entities(self, labels: list[str] | None = None) -> DataFrame:
-        """Entities of all chunks with offsets in the document, each once."""
+        """Entities of all chunks with offsets in the document, each once. A loaded index has them, until its sources change."""
         c = self.chunks
-        found = self.tagger.extract(c, "id").join(c.select("id", "doc_id", F.col("start").alias("_at")), "id")
-        out = found.select("doc_id", "entity", "label", (F.col("start") + F.col("_at")).alias("start"), (F.col("end") + F.col("_at")).alias("end"), "confidence")
-        return (out.where(F.col("label").isin(labels)) if labels else out).dropDuplicates(["doc_id", "label", "start", "end"])
+        if self._entities is None:
+            found = self.tagger.extract(c, "id").join(c.select("id", "doc_id", F.col("start").alias("_at")), "id")
+            out = found.select("doc_id", "entity", "label", (F.col("start") + F.col("_at")).alias("start"), (F.col("end") + F.col("_at")).alias("end"), "confidence")
+            out = out.dropDuplicates(["doc_id", "label", "start", "end"])
+        else:
+            out = self._entities
+        return out.where(F.col("label").isin(labels)) if labels else out
 
     def summarize(self, query: str, sentences: int = 3, k: int = 5) -> DataFrame:
         """doc_id, sentence, score: of the k best chunks the sentences that share most words with the query."""
@@ -270,6 +297,14 @@ class Explorer:
                 c["snippet"] = self._redact(c["snippet"])
         return {"answer": answer, "citations": citations, "intent": kind}
 
+    def generate(self, prompt: str, structured: bool = False, **options) -> str:
+        """The answer to a prompt, or all of ``query`` as JSON."""
+        result = self.query(prompt, **options)
+        return json.dumps(result, ensure_ascii=False, default=str) if structured else result["answer"]
+
+    def stream(self, prompt: str, **options):
+        yield from R.stream(self.generate(prompt, **options), 80)
+
     def _redact(self, s: str) -> str:
         return self.spark.range(1).select(T.redact_pii(F.lit(s)).alias("s")).first().s
 
@@ -297,11 +332,12 @@ class Explorer:
     def save(self, path: str) -> None:
         self.sources.write.mode("overwrite").parquet(f"{path}/sources")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        self.entities().write.mode("overwrite").parquet(f"{path}/entities")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **kw):
         e = cls(spark, **kw)
-        e.sources, e._chunks = spark.read.parquet(f"{path}/sources"), spark.read.parquet(f"{path}/chunks")
+        e.sources, e._chunks, e._entities = (spark.read.parquet(f"{path}/{x}") for x in ("sources", "chunks", "entities"))
         return e
 
 

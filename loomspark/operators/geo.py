@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_accents
+from ..workers import ready
 from .models import KNearestNeighbors
 
 EARTH_KM = 6371.0
@@ -34,6 +37,68 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.92).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0))))
 
 
+MANY = 2_000_000  # cities whose coordinates a worker holds (24 bytes each)
+KM_A_DEGREE = EARTH_KM * np.pi / 180
+
+
+def _km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    a, b, c, d = (np.radians(x) for x in (lat, lon, lats, lons))
+    u, v = np.sin((c - a) / 2), np.sin((d - b) / 2)
+    return 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(u * u + np.cos(a) * np.cos(c) * v * v)))
+
+
+def _degrees(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    return np.sqrt((lats - lat) ** 2 + (lons - lon) ** 2)
+
+
+def _around(lat: float, lon: float, k: int, places: tuple[np.ndarray, np.ndarray, np.ndarray], distance, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest places, which are sorted by latitude: a band of latitudes that grows until it must hold them.
+
+    No place beyond the band is nearer than the band's half width, in the units of ``distance`` (``unit`` a degree).
+    """
+    ids, lats, lons = places
+    half = 0.5
+    while True:
+        a, b = np.searchsorted(lats, lat - half, "left"), np.searchsorted(lats, lat + half, "right")
+        d = distance(lat, lon, lats[a:b], lons[a:b])
+        kth = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+        if kth <= half * unit * (1 - 1e-9) or (a == 0 and b == len(lats)):
+            near = np.flatnonzero(d <= kth)
+            near = near[np.lexsort((ids[a:b][near], d[near]))][:k]
+            return ids[a:b][near], d[near]
+        half *= 2
+
+
+def nearest(points: DataFrame, key: str, cities: DataFrame, city_key: str, k: int, in_km: bool) -> DataFrame | None:
+    """key, rank, city_key, distance_km of the k nearest cities, by kilometres or by degrees; None if there are too many cities to hold.
+
+    Cities are counted first; up to ``MANY`` of them go to every worker, where each point looks at a band of latitudes.
+    """
+    if cities.count() > MANY:
+        return None
+    rows = cities.select(city_key, "lat", "lon").toPandas().sort_values("lat", kind="stable")
+    held = points.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in (city_key, "lat", "lon")))
+    distance, unit = (_km, KM_A_DEGREE) if in_km else (_degrees, 1.0)
+
+    def run(batches):
+        ids, lats, lons = held.value
+        where = None if in_km else {i: n for n, i in enumerate(ids)}
+        for b in batches:
+            out = []
+            for i, lat, lon in zip(b[key], b["lat"].astype(float), b["lon"].astype(float)):
+                if len(ids) and np.isfinite(lat) and np.isfinite(lon):
+                    found, d = _around(lat, lon, min(k, len(ids)), held.value, distance, unit)
+                    if not in_km:
+                        at = np.array([where[x] for x in found])
+                        d = _km(lat, lon, lats[at], lons[at])
+                    out += [(i, n, x, float(y)) for n, (x, y) in enumerate(zip(found, d), 1)]
+            yield pd.DataFrame(out, columns=[key, "rank", city_key, "distance_km"])
+
+    ready(points.sparkSession)
+    kinds = dict(points.dtypes)[key], dict(cities.dtypes)[city_key]
+    return points.select(key, "lat", "lon").mapInPandas(run, f"`{key}` {kinds[0]}, rank int, `{city_key}` {kinds[1]}, distance_km double")
+
+
 @dataclass
 class Geo:
     countries: DataFrame
@@ -62,6 +127,13 @@ class Geo:
 
         Without a country the max(4k, 20) cities nearest in degrees are candidates, and stay in that order; with one, cities rank by kilometres.
         """
+        mine = self.cities if country is None else self.cities.where(F.upper("country_code") == country.strip().upper())
+        found = nearest(points, key, mine, city_key, max(4 * k, 20) if country is None else k, country is not None)
+        if found is not None:
+            if within_km is not None:
+                found = found.where(F.col("distance_km") <= within_km)
+            rank = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
+            return found.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", city_key, "distance_km")
         if country is not None:
             c = self.cities.where(F.upper("country_code") == country.strip().upper()).select(city_key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
             d = points.crossJoin(c).withColumn("distance_km", haversine_km("lat", "lon", "_lat", "_lon"))
@@ -127,6 +199,12 @@ def suggest(names: DataFrame, prefix: str, limit: int = 20, column: str = "name"
     return names.where(F.startswith(F.lower(column), F.lit(prefix.lower()))).select(column).distinct().orderBy(column).limit(limit)
 
 
+def contains(names: DataFrame, name: Column | str, column: str = "name") -> DataFrame:
+    """One row, ``found``: whether a name is there, whatever the case."""
+    sought = F.lower(F.lit(name) if isinstance(name, str) else name)
+    return names.agg(F.coalesce(F.bool_or(F.lower(column) == sought), F.lit(False)).alias("found"))
+
+
 def code_number(code: Column | str) -> Column:
     c = F.upper(F.trim(F.col(code) if isinstance(code, str) else code))
     return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0), lambda s, x: s + F.ascii(x)) / 200.0

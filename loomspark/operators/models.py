@@ -20,7 +20,7 @@ from .base import Classifier, Clusterer, InvalidArgument, ProbabilisticClassifie
 from .features import _lits
 from .ordering import draw
 
-SAMPLE = 200_000  # rows that models fitted on the driver see at most
+SAMPLE = 200_000  # rows that classifiers fitted on the driver see at most
 
 
 def driver_sample(df: DataFrame, columns: list[str], order: str, most: int = SAMPLE, seed: int = 42) -> pd.DataFrame:
@@ -215,53 +215,102 @@ class LinearRegression(Regressor):
         return df.withColumn("prediction", V.dot("features", _lits(self.state["weights"])) + self.state["bias"])
 
 
-def _stump(x: np.ndarray, columns: np.ndarray, cost) -> tuple[int, float, np.ndarray]:
-    """(feature, threshold, left mask) of least cost over the observed values of some columns; cost(order, cuts) gives each cut's."""
-    best = (np.inf, -1, 0.0)
-    for j in columns:
-        order = np.argsort(x[:, j], kind="stable")
-        v = x[order, j]
-        cuts = np.flatnonzero(v[1:] > v[:-1]) + 1  # sizes of the left part
-        if len(cuts):
-            c = cost(order, cuts)
-            i = int(np.argmin(c))
-            if c[i] < best[0]:
-                best = (c[i], int(j), float(v[cuts[i] - 1]))
-    _, j, t = best
-    return j, t, (x[:, j] <= t if j >= 0 else np.ones(len(x), bool))
+BINS = 256
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """A draw in [0, 1) for each 64-bit key."""
+    with np.errstate(over="ignore"):
+        x = key.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def stump_sums(df: DataFrame, order: str, channels, width: int, columns: list[str], picks: np.ndarray, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The cuts of each feature, and for each tree and picked feature the sums of the channels in each of its bins, over all rows.
+
+    Trees see each row as often as a Poisson draw of mean 1 says, by the row's key. Cuts are observed values at quantiles, all of
+    them where there are few; bin b holds what lies above cut b - 1 and not above cut b. One pass adds up a table of fixed size in
+    each partition, a few tasks add those up, and their sums reach the driver.
+    """
+    used = sorted(set(picks.ravel().tolist()))
+    steps = [i / BINS for i in range(1, BINS)]
+    row = df.agg(*[F.percentile_approx(F.col("features")[j].cast("double"), steps, 10_000) for j in used]).first()
+    cuts = {j: np.unique(np.array(c, float)) for j, c in zip(used, row)}
+    trees, m = picks.shape
+    shape = (trees, m, BINS + 1, width)
+
+    def part(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            if not len(b):
+                continue
+            x, key, values = matrix(b["features"]), b["_key"].to_numpy(np.int64), channels(b)
+            bins = {j: np.searchsorted(cuts[j], x[:, j], "left") for j in used}
+            for t in range(trees):
+                times = np.searchsorted(_POISSON, _uniform(key, seed * 100_003 + t), "right")
+                for i, j in enumerate(picks[t]):
+                    for c in range(width):
+                        total[t, i, :, c] += np.bincount(bins[j], times * values[:, c], BINS + 1)
+        yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+    def add(batches):
+        total = np.zeros(int(np.prod(shape)))
+        for b in batches:
+            for g in b["g"]:
+                total += np.asarray(g)
+        yield pd.DataFrame({"g": [total.tolist()]})
+
+    rows = df.select(F.xxhash64(order).alias("_key"), F.col("features").cast("array<double>").alias("features"), *columns)
+    total = np.zeros(shape)
+    for r in rows.mapInPandas(part, "g array<double>").repartition(8).mapInPandas(add, "g array<double>").toLocalIterator():
+        total += np.array(r.g).reshape(shape)
+    return [cuts.get(j, np.zeros(0)) for j in range(max(used) + 1)], total
+
+
+def _best(cuts: list[np.ndarray], picks: np.ndarray, sums: np.ndarray, cost) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """(feature, threshold, sums on the left, on the right) of least cost; feature -1 where nothing divides the rows."""
+    best = (math.inf, -1, math.inf, sums[0].sum(0), np.zeros(sums.shape[2]))
+    for i, j in enumerate(picks):
+        left = sums[i].cumsum(0)[: len(cuts[j])]
+        right = sums[i].sum(0) - left
+        c = cost(left, right)
+        if len(c) and np.nanmin(c) < best[0]:
+            k = int(np.nanargmin(c))
+            best = (float(c[k]), int(j), float(cuts[j][k]), left[k], right[k])
+    return best[1:]
 
 
 @dataclass
 class RandomForestClassifier(Classifier):
-    """Bootstrapped stumps of least Gini impurity on a random choice of features; the majority of their votes. Fitted on at most ``sample`` rows."""
+    """Bootstrapped stumps of least Gini impurity on a random choice of features; the majority of their votes. Fitted to all rows."""
 
     n_trees: int = 50
     max_features: int | None = None
     seed: int = 42
     order: str = "row_id"
-    sample: int = SAMPLE
 
     def fit(self, df: DataFrame):
         d = check_matrix(df)
-        rows = driver_sample(df, ["features", "label"], self.order, self.sample)
-        x = matrix(rows["features"])
-        labels = list(dict.fromkeys(rows["label"]))
-        y = rows["label"].map({v: i for i, v in enumerate(labels)}).to_numpy()
+        labels = [r.label for r in df.groupBy("label").agg(F.min(self.order).alias("o")).orderBy("o").collect()]
         r = np.random.default_rng(self.seed)
-        m, stumps = self.max_features or max(1, math.isqrt(d)), []
-        for _ in range(self.n_trees):
-            pick = r.integers(0, len(x), len(x))
-            bx, hot = x[pick], np.eye(len(labels))[y[pick]]
-
-            def gini(order, cuts, hot=hot):
-                c = hot[order].cumsum(0)
-                left, n = c[cuts - 1], len(order)
-                right = c[-1] - left
-                return (cuts * (1 - ((left / cuts[:, None]) ** 2).sum(1)) + (n - cuts) * (1 - ((right / (n - cuts)[:, None]) ** 2).sum(1))) / n
-
-            j, t, mask = _stump(bx, r.choice(d, min(m, d), replace=False), gini)
-            say = [int(np.argmax(hot[s].sum(0))) if s.any() else int(np.argmax(hot.sum(0))) for s in (mask, ~mask)]
-            stumps.append([max(j, 0), t if j >= 0 else math.inf, *say])
+        m = min(d, self.max_features or max(1, math.isqrt(d)))
+        picks = np.array([r.choice(d, m, replace=False) for _ in range(self.n_trees)])
+        channels = lambda b: np.column_stack([(b["label"] == v).to_numpy(float) for v in labels])
+        cuts, sums = stump_sums(df, self.order, channels, len(labels), ["label"], picks, self.seed)
+
+        def gini(left, right):
+            a, b = left.sum(1), right.sum(1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                c = (a - (left**2).sum(1) / a + b - (right**2).sum(1) / b) / (a + b)
+            return np.where((a > 0) & (b > 0), c, np.inf)
+
+        stumps = []
+        for t in range(self.n_trees):
+            j, cut, left, right = _best(cuts, picks[t], sums[t], gini)
+            stumps.append([max(j, 0), cut, int(np.argmax(left)), int(np.argmax(right if j >= 0 else left))])
         return self._trained(stumps=stumps, labels=[_plain(v) for v in labels])
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -278,32 +327,36 @@ def _is(i: int):
 
 @dataclass
 class RandomForestRegressor(Regressor):
-    """Bootstrapped stumps of least squared error; the mean of their leaves. Fitted on at most ``sample`` rows."""
+    """Bootstrapped stumps of least squared error; the mean of their leaves. Fitted to all rows."""
 
     n_trees: int = 50
     max_features: int | None = None
     seed: int = 42
     order: str = "row_id"
-    sample: int = SAMPLE
 
     def fit(self, df: DataFrame):
         d = check_matrix(df)
-        rows = driver_sample(df, ["features", "target"], self.order, self.sample)
-        x, y = matrix(rows["features"]), rows["target"].to_numpy(float)
         r = np.random.default_rng(self.seed)
-        m, stumps = self.max_features or max(1, d // 3), []
-        for _ in range(self.n_trees):
-            pick = r.integers(0, len(x), len(x))
-            bx, by = x[pick], y[pick]
-
-            def error(order, cuts, by=by):
-                s, q = by[order].cumsum(), (by[order] ** 2).cumsum()
-                n = len(order)
-                left, right = q[cuts - 1] - s[cuts - 1] ** 2 / cuts, (q[-1] - q[cuts - 1]) - (s[-1] - s[cuts - 1]) ** 2 / (n - cuts)
-                return left + right
-
-            j, t, mask = _stump(bx, r.choice(d, min(m, d), replace=False), error)
-            stumps.append([max(j, 0), t if j >= 0 else math.inf, *[float(by[s].mean()) if s.any() else float(by.mean()) for s in (mask, ~mask)]])
+        m = min(d, self.max_features or max(1, d // 3))
+        picks = np.array([r.choice(d, m, replace=False) for _ in range(self.n_trees)])
+        middle = float(df.agg(F.avg("target")).first()[0])  # sums of squares about it lose nothing
+
+        def channels(b):
+            y = b["target"].to_numpy(float) - middle
+            return np.column_stack([np.ones(len(y)), y, y * y])
+
+        cuts, sums = stump_sums(df, self.order, channels, 3, ["target"], picks, self.seed)
+
+        def error(left, right):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                c = left[:, 2] - left[:, 1] ** 2 / left[:, 0] + right[:, 2] - right[:, 1] ** 2 / right[:, 0]
+            return np.where((left[:, 0] > 0) & (right[:, 0] > 0), c, np.inf)
+
+        stumps = []
+        for t in range(self.n_trees):
+            j, cut, left, right = _best(cuts, picks[t], sums[t], error)
+            mean = [middle + float(s[1] / s[0]) if s[0] else middle for s in (left, right)]
+            stumps.append([max(j, 0), cut, *(mean if j >= 0 else mean[:1] * 2)])
         return self._trained(stumps=stumps)
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -354,23 +407,29 @@ class MLPBinaryClassifier(ProbabilisticClassifier):
 
 @dataclass
 class MiniBatchKMeans(Clusterer):
-    """Centroids start at the first k rows of a shuffle and move by 1 / count towards batch members. On at most ``sample`` rows."""
+    """Centroids start at the first k rows of a shuffle of all rows and move by 1 / count towards the members of batches.
+
+    Batches are the next rows of the shuffle; where there are too few rows, draws of all of them. The method needs no more than
+    k + iterations x batch rows, which are what reaches the driver.
+    """
 
     k: int = 8
     iterations: int = 100
     batch: int = 32
     seed: int = 42
     order: str = "row_id"
-    sample: int = SAMPLE
 
     def fit(self, df: DataFrame):
         check_matrix(df)
-        x = matrix(driver_sample(df, ["features"], self.order, self.sample)["features"])
+        need = self.k + self.iterations * self.batch
+        shuffled = df.select(self.order, "features", draw(self.seed, self.order).alias("_draw")).orderBy("_draw", self.order).limit(need)
+        x = matrix(shuffled.select("features").toPandas()["features"])
         r = np.random.default_rng(self.seed)
-        c = x[r.permutation(len(x))[: self.k]].copy()
+        c = x[: self.k].copy()
+        rest = x[self.k :] if len(x) == need else x[r.integers(0, len(x), self.iterations * min(self.batch, len(x)))]
         count = np.zeros(len(c))
-        for _ in range(self.iterations):
-            for row in x[r.integers(0, len(x), min(self.batch, len(x)))]:
+        for members in np.array_split(rest, self.iterations):
+            for row in members:
                 i = int(((c - row) ** 2).sum(1).argmin())
                 count[i] += 1
                 c[i] += (row - c[i]) / count[i]

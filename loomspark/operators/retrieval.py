@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -91,7 +92,7 @@ def _tf(tokens: Column, term: str) -> Column:
 
 def bm25_scores(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, text: str = "text", pattern: str = TERM) -> DataFrame:
     """docs with ``score`` for one query. One aggregate over the corpus (N, mean length, df of the query's terms), then a projection."""
-    terms = re.findall(r"[^\W_]+", query.lower())
+    terms = regex.findall(pattern, query.lower())
     distinct = list(dict.fromkeys(terms))
     d = docs.withColumn("_tokens", T.lower_words(F.coalesce(F.col(text), F.lit("")), pattern))
     d = d.select(*docs.columns, F.size("_tokens").alias("_dl"), *[_tf(F.col("_tokens"), t).alias(f"_tf{i}") for i, t in enumerate(distinct)])

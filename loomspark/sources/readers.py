@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,12 +30,32 @@ def json_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def numbered(rows: DataFrame, name: str = "nth") -> DataFrame:
+    """rows with their position from 0. Rows are counted by partition, in an aggregate of a row a partition; nothing is sorted."""
+    d = rows.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
+    n = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return d.join(before, "_part").select(*rows.columns, (F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, nth: the lines of each file that aren't empty, numbered from 0 in their file, however the files are split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_mid", F.monotonically_increasing_id())
+    lines = lines.where("value <> ''").withColumn("_nth", F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_mid")))
+    n = lines.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("_file", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(n, ["_file", "_at"]).select("value", (F.col("_before") + F.col("_nth") - 1).alias("nth"))
+
+
 def jsonl_documents(spark: SparkSession, path: str, text_field: str = "text", id_field: str = "id") -> DataFrame:
-    """One JSON object a line; ids default to jsonl- and the line's hash; the other fields become metadata; blank texts are dropped."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    m = lines.select("value", F.from_json("value", "map<string,string>").alias("m"))
+    """One JSON object a line; ids default to jsonl- and the line's number; the other fields become metadata; blank texts are dropped.
+
+    Lines count from 0, without empty ones; a window holds one split of a file.
+    """
+    m = file_lines(spark, path).select("nth", F.from_json("value", "map<string,string>").alias("m"))
     rest = F.map_filter("m", lambda k, _: ~k.isin(text_field, id_field))
-    d = m.select(F.coalesce(F.col("m")[id_field], F.concat(F.lit("jsonl-"), F.md5("value"))).alias("id"), F.coalesce(F.col("m")[text_field], F.lit("")).alias("text"), rest.alias("metadata"))
+    d = m.select(F.coalesce(F.col("m")[id_field], F.concat(F.lit("jsonl-"), F.col("nth").cast("string"))).alias("id"), F.coalesce(F.col("m")[text_field], F.lit("")).alias("text"), rest.alias("metadata"))
     return d.where("trim(text) <> ''")
 
 
@@ -116,8 +136,8 @@ def source_file(spark: SparkSession, path: str, allowed: list[str] | None = None
 def sentiment_samples(d: DataFrame) -> DataFrame:
     """id, text, label with defaults: the row's position and 'negative'."""
     has = lambda c: F.col(c) if c in d.columns else F.lit(None)
-    at = F.monotonically_increasing_id()
-    return d.select(F.coalesce(has("id").cast("long"), at).alias("id"), F.coalesce(has("text"), F.lit("")).alias("text"), F.coalesce(has("label"), F.lit("negative")).alias("label"))
+    d = numbered(d, "_loom_nth")
+    return d.select(F.coalesce(has("id").cast("long"), F.col("_loom_nth")).alias("id"), F.coalesce(has("text"), F.lit("")).alias("text"), F.coalesce(has("label"), F.lit("negative")).alias("label"))
 
 
 def dictionary(d: DataFrame, word: str, translations: list[str]) -> DataFrame:
@@ -128,6 +148,12 @@ def dictionary(d: DataFrame, word: str, translations: list[str]) -> DataFrame:
     return g.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("translations"))
 
 
+def definitions(d: DataFrame, word: str = "word", definition: str = "definition") -> DataFrame:
+    """word (lower case), definition: of several the last in the order of rows."""
+    rows = numbered(d, "_loom_nth").select(F.lower(F.trim(word)).alias("word"), F.trim(definition).alias("definition"), "_loom_nth")
+    return rows.where("word <> '' and definition <> ''").groupBy("word").agg(F.max_by("definition", "_loom_nth").alias("definition"))
+
+
 def word_map(d: DataFrame) -> DataFrame:
     return d.where(~F.contains("word", F.lit(" ")))
 
