@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import explorer as X
 from ..operators import retrieval as R
 from .tabular import r6, read
+from .texts import ORACLE_SQL as _TEXTS
 from .texts import WORDS, q
 
+SENTENCES = _TEXTS["sentence_split"]
 QUERY = "the heating of the under einer"
 STRUCTURED = '"of the" this NOT einer OR er OR und source:src3'
 
@@ -110,21 +113,47 @@ def explorer_summary(spark, sf):
 
 
 def regex_extract(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b[a-z]+ing\b"), F.lit(0))).alias("nth", "match"))
-    return d.groupBy("match").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    d = X.regex_matches(_docs(spark, sf), "doc_id", r"\b[a-z]+ing\b")
+    wrong = F.count_if(F.col("end") - F.col("start") != F.length("match"))
+    return d.groupBy("match").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), wrong.alias("wrong"))
+
+
+def explorer_fetch(spark, sf):
+    """Characters 10 to 40 of one document, and all of another, by id."""
+    e = _explorer(spark, sf)
+    return e.fetch("7", 10, 40).unionByName(e.fetch("8"))
+
+
+def explorer_date_filter(spark, sf):
+    """Chunks of documents dated within a quarter; documents get a month by their id."""
+    d = _docs(spark, sf).select("doc_id", "text", "source", F.col("lang").alias("tag"), F.concat(F.lit("2026-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-15")).alias("date"))
+    p = X.parse_query("the date:2026-02..2026-04 tag:en")
+    return X.Explorer(spark).add(d).chunks.where(X.matches(p.filters)).select("doc_id", "chunk")
+
+
+def similarity_floor(spark, sf):
+    """Grounding: the checks that a benchmark item fails as an answer with the score of its length."""
+    b = read(spark, sf, "benchmark")
+
+    @F.pandas_udf("string")
+    def issues(text: pd.Series, score: pd.Series) -> pd.Series:
+        return pd.Series([",".join(R.verify_grounding(t or "", [s])) for t, s in zip(text, score)])
+
+    return b.select("item_id", issues(F.col("text"), (F.length("text") % 3).cast("double")).alias("issues"))
 
 
 def prompt_intents(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", X.intent("text").alias("intent"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_all_benchmarks, tfidf_weights, idf_vocabulary, hash_vectorize, hash_embed, chunk_words, chunk_chars, cosine_topk, cosine_filtered, hybrid_topk, rerank_lexical, explorer_chunks, explorer_constraints, explorer_near, explorer_search, explorer_summary, regex_extract, prompt_intents)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_all_benchmarks, tfidf_weights, idf_vocabulary, hash_vectorize, hash_embed, chunk_words, chunk_chars, cosine_topk, cosine_filtered, hybrid_topk, rerank_lexical, explorer_chunks, explorer_constraints, explorer_near, explorer_search, explorer_summary, explorer_fetch, explorer_date_filter, similarity_floor, regex_extract, prompt_intents)}
 
 _T = q(R.TERM)
 _TF = f"tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text), {_T})) term from documents) group by all)"
 _Q = R.ascii_terms(QUERY)
 _QS = ", ".join(f"('{t}')" for t in _Q)
 _QLIST = "[" + ", ".join(f"'{t}'" for t in dict.fromkeys(_Q)) + "]"
+_QWORDS = "[" + ", ".join(q(t) for t in dict.fromkeys(QUERY.lower().split())) + "]"
 _VEC = "cast([" + ", ".join(map(str, _V)) + "] as double[])"
 _CHUNKS = """ch0 as (select doc_id, source, lang as tag, text t, unnest(range(0, length(text), 370)) st from documents where trim(text) <> ''),
     ch1 as (select cast(doc_id as varchar) as doc_id, source, st, st // 370 as chunk, substr(t, cast(st + 1 as bigint), 450) as text from ch0), ch as (select * from ch1 where trim(text) <> '')"""
@@ -179,6 +208,10 @@ ORACLE_SQL = {
     "explorer_near": f"""with {_CHUNKS} select doc_id, cast(chunk as int) as chunk from ch where regexp_matches(lower(text), '(?s)withe|with.{{0,5}}the|the.{{0,6}}with')""",
     "explorer_search": f"""with {_CHUNKS}, {_bm25("(select doc_id || '#' || chunk as ck, text from ch)", 'ck', _STERMS)}, t as (select ch.doc_id, ch.chunk, ch.text, ch.source, score from sc join ch on ck = ch.doc_id || '#' || ch.chunk order by score desc, ch.doc_id, ch.chunk limit 100)
         select doc_id, cast(chunk as int) as chunk, round(score + {_boosts()}, 6) as score from t where {_constraints()} order by score + {_boosts()} desc, doc_id, chunk limit 10""",
-    "regex_extract": r"""select m as match, count(*) as n, min(doc_id) as first_doc from (select doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_\p{M}])([a-z]+ing)\b', 1)) m from documents) group by m""",
+    "regex_extract": r"""select m as match, count(*) as n, min(doc_id) as first_doc, cast(0 as bigint) as wrong from (select doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_\p{M}])([a-z]+ing)\b', 1)) m from documents) group by m""",
+    "explorer_fetch": "select cast(doc_id as varchar) as doc_id, case doc_id when 7 then substr(text, 11, 30) else text end as text from documents where doc_id in (7, 8)",
+    "explorer_date_filter": f"""with {_CHUNKS} select doc_id, cast(chunk as int) as chunk from ch where (cast(doc_id as bigint) % 12) between 1 and 3 and cast(doc_id as bigint) in (select doc_id from documents where lang = 'en')""",
+    "similarity_floor": "select item_id, case when length(text) % 3 = 0 then 'no context scores above zero' else '' end as issues from benchmark",
+    "explorer_summary": f"""with s as ({SENTENCES}) select doc_id, nth, round(len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), {WORDS})), {_QWORDS})) / len({_QWORDS})::double, 6) as score from s""",
     "prompt_intents": """select conv_id, turn, case when contains(lower(text), 'countries mentioned') then 'ENTITY_COUNTRY' when contains(lower(text), 'glossary') then 'GLOSSARY' when contains(lower(text), 'summarize') or contains(lower(text), 'summary') then 'SUMMARY' else 'SEARCH' end as intent from conversations""",
 }

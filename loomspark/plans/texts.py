@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fluent as C
 from ..functions import text as T
 from ..operators import explorer as X
 from ..operators import nlp as N
+from ..sources import readers as S
 from .tabular import r6, read
 
 TERMS = ["secret", "internal", "password", "account", "idiot"]
@@ -74,17 +76,39 @@ def term_filter_fuzzy(spark, sf):
 
 
 def pos_tag_counts(spark, sf):
-    d = _docs(spark, sf)
-    out = None
+    d = _docs(spark, sf).where(F.col("lang").isin("en", "fr", "es", "de")).select("lang", F.explode(T.words("text")).alias("w"))
+    pos = F.lit(None).cast("string")
     for lang in ("en", "fr", "es", "de"):
-        tags = d.where(F.col("lang") == lang).select("lang", F.explode(N.pos_tags("text", lang)).alias("t")).groupBy("lang", F.col("t.pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
-        out = tags if out is None else out.unionByName(tags)
-    return out
+        pos = F.when(F.col("lang") == lang, N.pos_tag(F.col("w"), lang)).otherwise(pos)
+    return d.groupBy("lang", pos.alias("pos")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ner_pattern_counts(spark, sf):
-    labels = ("EMAIL", "URL", "PHONE", "DATE", "MONEY", "IP_ADDRESS", "TIME", "PERCENT", "UUID")
-    return read(spark, sf, "pages").select("page_id", *[N.count_pattern("html", x).alias(x.lower()) for x in labels])
+    return read(spark, sf, "pages").select("page_id", *[N.count_pattern("html", x).alias(x.lower()) for x in N.ENTITY_PATTERNS])
+
+
+def word_offsets(spark, sf):
+    """Where the words of each document stand."""
+    w = _docs(spark, sf).select("doc_id", F.explode(N.word_offsets("text")).alias("w"))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w.start").cast("long")).alias("starts"), F.sum(F.col("w.end").cast("long")).alias("ends"))
+
+
+def rake_column(spark, sf):
+    """Keywords as a column: the best one of each document."""
+    k = _docs(spark, sf).select("doc_id", F.get(N.keywords("text", 1), 0).alias("k")).where("k is not null")
+    return k.select("doc_id", "k.keyword", r6("k.score").alias("score"))
+
+
+def definitions_last(spark, sf):
+    """Parts' names as words, their types as definitions, of which the last in the order of the file counts."""
+    p = read(spark, sf, "part").select(F.col("p_name").alias("word"), F.col("p_type").alias("definition"))
+    return S.definitions(p)
+
+
+def title_case(spark, sf):
+    """Part names in upper and title case, through the chain of text functions."""
+    t = C.Text("p_name")
+    return read(spark, sf, "part").select("p_partkey", t.upper().column.alias("upper"), t.lower().title().column.alias("title"))
 
 
 def ner_entities(spark, sf):
@@ -115,7 +139,7 @@ def translate_words(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", F.md5(table.translate(F.col("text"))).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (words_ngrams, sentence_split, text_clean, text_slug, text_initials, token_kinds, lang_detect, lang_routes, rake_keywords, pii_redact, term_filter, term_filter_fuzzy, pos_tag_counts, ner_pattern_counts, ner_entities, glossary, name_similarity, meaning_lookup, translate_words)}
+QUERIES = {f.__name__: f for f in (words_ngrams, sentence_split, text_clean, text_slug, text_initials, token_kinds, lang_detect, lang_routes, rake_keywords, pii_redact, term_filter, term_filter_fuzzy, pos_tag_counts, ner_pattern_counts, word_offsets, rake_column, definitions_last, title_case, ner_entities, glossary, name_similarity, meaning_lookup, translate_words)}
 
 
 def q(s: str) -> str:
@@ -150,7 +174,14 @@ def _pos() -> str:
 
 
 def _ner() -> str:
-    return "select page_id, " + ", ".join(f"cast(len(regexp_extract_all(html, {q(N.ENTITY_PATTERNS[x])})) as int) as {x.lower()}" for x in ("EMAIL", "URL", "PHONE", "DATE", "MONEY", "IP_ADDRESS", "TIME", "PERCENT", "UUID")) + " from pages"
+    # no lookbehind in this engine: what must not stand before a match is part of it
+    pattern = lambda x: q(N.ENTITY_PATTERNS[x].replace(r"(?<!\w)", r"(?:^|[^\w])"))
+    return "select page_id, " + ", ".join(f"cast(len(regexp_extract_all(html, {pattern(x)})) as int) as {x.lower()}" for x in N.ENTITY_PATTERNS) + " from pages"
+
+
+# words and all else, one by one, in the order of the text
+_PIECES = f"regexp_extract_all(text, {q('(?s)' + T.LETTER_START + '|.')})"
+_WORDLIKE = r"'^\p{L}'"
 
 
 ORACLE_SQL = {
@@ -186,9 +217,18 @@ ORACLE_SQL = {
     "term_filter": f"select doc_id, {_found} as found, md5({_redact()}) as digest from documents",
     "pos_tag_counts": _pos(),
     "ner_pattern_counts": _ner(),
+    "word_offsets": f"""with p as (select doc_id, unnest(ps) p, generate_subscripts(ps, 1) i from (select doc_id, {_PIECES} ps from documents)), o as (select doc_id, p, coalesce(sum(length(p)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) st from p)
+        select doc_id, count(*) as n, cast(sum(st) as bigint) as starts, cast(sum(st + length(p)) as bigint) as ends from o where regexp_matches(p, {_WORDLIKE}) group by doc_id""",
+    "rake_column": "with r as (RAKE) select doc_id, keyword, score from r where rank = 1",
+    "definitions_last": "select lower(trim(p_name)) as word, arg_max(trim(p_type), i) as definition from (select *, row_number() over () i from part) where trim(p_name) <> '' group by 1",
+    "title_case": "select p_partkey, upper(p_name) as upper, array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(p_name), ' ')], ' ') as title from part",
+    "term_filter_fuzzy": f"""select doc_id, array_to_string([x for x in [{', '.join(f"case when contains(low, '{t}') or len([w for w in ws if w <> '' and abs(length(w) - {len(t)}) <= 1 and levenshtein(w, '{t}') <= 1]) > 0 then '{t}' end" for t in TERMS)}] if x is not null], ',') as found
+        from (select doc_id, lower(text) low, list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) ws from documents)""",
+    "translate_words": f"""select conv_id, turn, md5(array_to_string([case lower(p) when 'the' then case p when 'THE' then 'LE' when 'the' then 'le' else case when upper(p[1]) = p[1] then 'Le' else 'le' end end when 'and' then case p when 'AND' then 'ET' else case when upper(p[1]) = p[1] then 'Et' else 'et' end end when 'of' then case p when 'OF' then 'DE' else case when upper(p[1]) = p[1] then 'De' else 'de' end end else p end for p in ps], '')) as digest from (select conv_id, turn, {_PIECES} ps from conversations)""",
     "glossary": f"select w as term, count(*) as n from (select unnest(regexp_extract_all(lower(text), {WORDS})) w from documents) where length(w) >= 4 group by w order by n desc, w limit 12",
     "name_similarity": """with n as (select distinct p_name a from part), p as (select x.a, y.a b, string_split(x.a, ' ') u, string_split(y.a, ' ') v from n x join n y on x.a < y.a)
         select a, b, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v)))::double, 6) as jaccard, round(1 - levenshtein(a, b) / greatest(length(a), length(b))::double, 6) as lev from p""",
     "meaning_lookup": """with s as (select item_id as word, contains(lower(text), 'the')::int + contains(lower(text), 'er')::int + contains(lower(text), 'on')::int as score from benchmark)
         select word, score from s where score > 0 order by score desc, word limit 10""",
 }
+ORACLE_SQL["rake_column"] = ORACLE_SQL["rake_column"].replace("RAKE", ORACLE_SQL["rake_keywords"])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import agents as A
+from ..operators import providers as P
 from ..operators import retrieval as R
 from ..sources import readers as S
 from ..sources import stores as K
+from ..workers import shared_folder
 from .tabular import r6, read
 
 
@@ -45,7 +50,7 @@ def dictionary_merge(spark, sf):
 
 
 def store_upsert(spark, sf):
-    """Customers of the first half of the nations replace those with balances below zero."""
+    """Customers with balances below zero replace what the store has of them."""
     c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"), "c_acctbal", "c_nationkey")
     old = c.select("id", "text", F.lit("old").alias("state"))
     new = c.where("c_acctbal < 0").select("id", "text", F.lit("new").alias("state"))
@@ -54,15 +59,22 @@ def store_upsert(spark, sf):
 
 def echo_answers(spark, sf):
     """The stand-in model over every conversation turn: its prefix and 240 characters, in pieces of 40."""
-    t = read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Echo: "), F.substring("text", 1, 240)).alias("a"))
-    at = t.select("conv_id", "turn", "a", F.explode(F.sequence(F.lit(0), F.length("a") - 1, F.lit(40))).alias("start"))
-    return at.select("conv_id", "turn", (F.col("start") / 40).cast("int").alias("nth"), F.substr("a", F.col("start") + 1, F.lit(40)).alias("piece"))
+    model = P.EchoModel()
+
+    @F.pandas_udf("array<string>")
+    def said(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: list(model.stream(t or "")))
+
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(said("text")).alias("nth", "piece"))
 
 
 def query_expansion(spark, sf):
+    @F.pandas_udf("array<string>")
+    def forms(s: pd.Series) -> pd.Series:
+        return s.map(R.expand_query)
+
     b = read(spark, sf, "benchmark")
-    forms = F.array(F.col("text"), F.concat("text", F.lit(" explanation")), F.concat(F.lit("about "), "text"))
-    return b.select("item_id", F.posexplode(forms).alias("nth", "q")).select("item_id", "nth", F.md5("q").alias("digest"))
+    return b.select("item_id", F.posexplode(forms("text")).alias("nth", "q")).select("item_id", "nth", F.md5("q").alias("digest"))
 
 
 def prompt_lengths(spark, sf):
@@ -71,9 +83,75 @@ def prompt_lengths(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.md5(F.replace(q, F.lit("\x01"), F.col("text"))).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (extract_props, guarded_sql, expression_eval, tool_routing, sql_documents, dictionary_merge, store_upsert, echo_answers, query_expansion, prompt_lengths)}
+def _written(spark, table, fmt, **options):
+    path = f"{shared_folder(spark)}/given-{uuid.uuid4().hex}"
+    table.write.format(fmt).options(**options).save(path)
+    return path
+
+
+def csv_rows(spark, sf):
+    """Customers through a CSV file and its reader."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias(" c_custkey "), "c_name", F.when(F.col("c_nationkey") > 3, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return S.csv_table(spark, _written(spark, c, "csv", header=True, escape="\\"))
+
+
+def json_rows(spark, sf):
+    """Orders as JSON arrays and back."""
+    o = read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_custkey")))).alias("value"))
+    path = f"{shared_folder(spark)}/given-{uuid.uuid4().hex}"
+    o.write.partitionBy("o_orderstatus").text(path)  # a file holds one array
+    return S.json_table(spark, path, "o_orderkey long, o_custkey long").select("o_orderkey", "o_custkey")
+
+
+def jsonl_rows(spark, sf):
+    """Benchmark items as lines of one JSON file without ids; each gets its line's number."""
+    b = read(spark, sf, "benchmark").select("text", F.col("item_id").cast("string").alias("item"))
+    path = _written(spark, b.orderBy("item").coalesce(1), "json")
+    d = S.jsonl_documents(spark, path)
+    return d.select("id", F.md5("text").alias("digest"), F.col("metadata")["item"].alias("item"))
+
+
+def text_files(spark, sf):
+    """Nations as text files of a folder, one each."""
+    n = read(spark, sf, "nation").select("n_name", F.concat("n_name", F.lit(" in region "), F.col("n_regionkey").cast("string")).alias("value"))
+    path = f"{shared_folder(spark)}/given-{uuid.uuid4().hex}"
+    n.write.partitionBy("n_name").text(path)
+    d = S.directory_documents(spark, path)
+    return d.select(F.trim("text", F.lit("\n")).alias("text"), F.startswith("id", F.lit("file:")).alias("named"))
+
+
+def store_search(spark, sf):
+    """Embeddings put into a folder store twice, the second time changed, and searched."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("text"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    store = K.FolderVectorStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").upsert(e)
+    store.upsert(e.where("text = '1'").withColumn("vector", F.transform("vector", lambda x: -x)))
+    found = store.search(_V, 10)
+    return found.select("id", "text", r6("score").alias("score"))
+
+
+def index_saved(spark, sf):
+    """A vector index saved and loaded."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    K.save_index(read(spark, sf, "embeddings").select("vec_id", "label", F.size("embedding").alias("n")), path)
+    return K.load_index(spark, path)
+
+
+def text_ids(spark, sf):
+    """Regions' names as texts in memory."""
+    names = [r.r_name for r in read(spark, sf, "region").orderBy("r_regionkey").collect()]  # a table of fixed size
+    return S.text_documents(spark, names).select("id", "text")
+
+
+def sentiment_rows(spark, sf):
+    """Labelled samples without ids or labels get their position and 'negative'."""
+    b = read(spark, sf, "benchmark").orderBy("item_id").select("text", F.when(F.col("item_id") % 2 == 0, "positive").alias("label"))
+    return S.sentiment_samples(b).select("id", F.md5("text").alias("digest"), "label")
+
+
+_V = [((5 * i) % 11 - 5) / 10 for i in range(64)]
+QUERIES = {f.__name__: f for f in (extract_props, guarded_sql, expression_eval, tool_routing, sql_documents, dictionary_merge, store_upsert, csv_rows, json_rows, jsonl_rows, text_files, store_search, index_saved, text_ids, sentiment_rows, echo_answers, query_expansion, prompt_lengths)}
 
-_PROMPT = R.qa_prompt("?", ["\x01"]).replace("\n", "' || chr(10) || '")
+_VEC = "cast([" + ", ".join(map(str, _V)) + "] as double[])"
 ORACLE_SQL = {
     "extract_props": "select event_id, k as name, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) k from events)",
     "guarded_sql": "select o_orderstatus, count(o_orderkey) as n, max(o_totalprice) as top from orders where o_totalprice > 1000.0 group by o_orderstatus",
@@ -84,5 +162,14 @@ ORACLE_SQL = {
     "store_upsert": "select cast(c_custkey as varchar) as id, c_name as text, case when c_acctbal < 0 then 'new' else 'old' end as state from customer",
     "echo_answers": "select conv_id, turn, cast(st // 40 as int) as nth, substr(a, cast(st + 1 as bigint), 40) as piece from (select conv_id, turn, a, unnest(range(0, length(a), 40)) st from (select conv_id, turn, 'Echo: ' || substr(text, 1, 240) a from conversations))",
     "query_expansion": "select item_id, cast(i as int) as nth, md5(case i when 0 then text when 1 then text || ' explanation' else 'about ' || text end) as digest from benchmark, range(3) t(i)",
-    "prompt_lengths": f"select item_id, md5(replace('{_PROMPT}', chr(1), text)) as digest from benchmark",
+    "prompt_lengths": """select item_id, md5(concat_ws(chr(10), 'Answer from the context alone.', '', 'Context:', '[1] ' || text, '', 'Question: ?', 'Answer:')) as digest from benchmark""",
+    "csv_rows": "select cast(c_custkey as varchar) as c_custkey, c_name, case when c_nationkey > 3 then c_mktsegment else '' end as c_mktsegment from customer",
+    "json_rows": "select o_orderkey, o_custkey from orders",
+    "jsonl_rows": "select 'jsonl-' || (row_number() over (order by cast(item_id as varchar)) - 1) as id, md5(text) as digest, cast(item_id as varchar) as item from benchmark",
+    "text_files": "select n_name || ' in region ' || n_regionkey as text, true as named from nation",
+    "store_search": f"""with v as (select cast(vec_id as varchar) as id, cast(label as varchar) as text, [case when label = 1 then -x else x end for x in cast(embedding as double[])] v from embeddings)
+        select id, text, round(list_cosine_similarity(v, {_VEC}), 6) as score from v order by list_cosine_similarity(v, {_VEC}) desc, id limit 10""",
+    "index_saved": "select vec_id, label, cast(len(embedding) as int) as n from embeddings",
+    "text_ids": "select 'text-' || r_regionkey as id, r_name as text from region",
+    "sentiment_rows": "select row_number() over (order by item_id) - 1 as id, md5(text) as digest, case when item_id % 2 = 0 then 'positive' else 'negative' end as label from benchmark",
 }

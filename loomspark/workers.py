@@ -1,7 +1,8 @@
-"""Python workers must find this package."""
+"""Python workers must find this package, and all executors a folder."""
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,16 @@ def ready(spark: SparkSession) -> None:
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
 
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one in a local session where it is unset."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="loomspark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
