@@ -243,10 +243,11 @@ def stump_sums(df: DataFrame, order: str, channels, width: int, columns: list[st
     shape = (trees, m, BINS + 1, width)
 
     def part(batches):
-        total = np.zeros(shape)
+        total = None
         for b in batches:
             if not len(b):
                 continue
+            total = np.zeros(shape) if total is None else total
             x, key, values = matrix(b["features"]), b["_key"].to_numpy(np.int64), channels(b)
             bins = {j: np.searchsorted(cuts[j], x[:, j], "left") for j in used}
             for t in range(trees):
@@ -254,19 +255,19 @@ def stump_sums(df: DataFrame, order: str, channels, width: int, columns: list[st
                 for i, j in enumerate(picks[t]):
                     for c in range(width):
                         total[t, i, :, c] += np.bincount(bins[j], times * values[:, c], BINS + 1)
-        yield pd.DataFrame({"g": [total.ravel().tolist()]})
+        yield pd.DataFrame({"g": [] if total is None else [total.tobytes()]})
 
     def add(batches):
-        total = np.zeros(int(np.prod(shape)))
+        total = None
         for b in batches:
             for g in b["g"]:
-                total += np.asarray(g)
-        yield pd.DataFrame({"g": [total.tolist()]})
+                total = np.frombuffer(g) + (0 if total is None else total)
+        yield pd.DataFrame({"g": [] if total is None else [total.tobytes()]})
 
     rows = df.select(F.xxhash64(order).alias("_key"), F.col("features").cast("array<double>").alias("features"), *columns)
     total = np.zeros(shape)
-    for r in rows.mapInPandas(part, "g array<double>").repartition(8).mapInPandas(add, "g array<double>").toLocalIterator():
-        total += np.array(r.g).reshape(shape)
+    for r in rows.mapInPandas(part, "g binary").repartition(8).mapInPandas(add, "g binary").toLocalIterator():
+        total += np.frombuffer(r.g).reshape(shape)
     return [cuts.get(j, np.zeros(0)) for j in range(max(used) + 1)], total
 
 
