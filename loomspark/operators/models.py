@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .base import Classifier, Clusterer, InvalidArgument, ProbabilisticClassifier, Regressor, check_matrix
 from .features import _lits
-from .ordering import draw
+from .ordering import doubles, draw
 
 SAMPLE = 200_000  # rows that classifiers fitted on the driver see at most
 
@@ -236,7 +236,7 @@ def stump_sums(df: DataFrame, order: str, channels, width: int, columns: list[st
     each partition, a few tasks add those up, and their sums reach the driver.
     """
     used = sorted(set(picks.ravel().tolist()))
-    steps = [i / BINS for i in range(1, BINS)]
+    steps = doubles(i / BINS for i in range(1, BINS))
     row = df.agg(*[F.percentile_approx(F.col("features")[j].cast("double"), steps, 10_000) for j in used]).first()
     cuts = {j: np.unique(np.array(c, float)) for j, c in zip(used, row)}
     trees, m = picks.shape

@@ -30,14 +30,19 @@ def _code(kind: T.DataType, c: Column) -> Column:
     return c.cast("double")
 
 
+def doubles(values) -> Column:
+    """An array of doubles, made in one call however many there are."""
+    return F.expr("array(" + ", ".join(f"double('{float(v)!r}')" for v in values) + ")")
+
+
 def _cuts(df: DataFrame, codes: dict[str, Column], n: int) -> dict[str, list[float]]:
-    row = df.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], 10_000).alias(k) for k, c in codes.items()]).first()
+    row = df.agg(*[F.percentile_approx(c, doubles(i / n for i in range(1, n)), 10_000).alias(k) for k, c in codes.items()]).first()
     return {k: sorted({c for c in row[k] or [] if c is not None}) for k in codes}
 
 
 def _at(cuts: list[float], code: Column) -> Column:
     """How many cuts lie at or below."""
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= code)), F.lit(0)) if cuts else F.lit(0)
+    return F.coalesce(F.size(F.filter(doubles(cuts), lambda c: c <= code)), F.lit(0)) if cuts else F.lit(0)
 
 
 def ranked(df: DataFrame, by: Column, ties: list[str], descending: bool = False, within: list[str] | None = None, sums: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
@@ -60,7 +65,7 @@ def ranked(df: DataFrame, by: Column, ties: list[str], descending: bool = False,
     for name, value in sums.items():
         d = d.withColumn(f"_s_{name}", value)
     at = _at(cuts["key"], F.col("_code"))
-    point = F.array_contains(F.array(*map(F.lit, cuts["key"])), F.col("_code")) if cuts["key"] else F.lit(False)
+    point = F.array_contains(doubles(cuts["key"]), F.col("_code")) if cuts["key"] else F.lit(False)
     bucket = F.when(F.col("_code").isNull(), -1).otherwise(2 * at - point.cast("int"))
     same = point & (F.abs("_code") < 2.0**53) if ties and not isinstance(kind, (T.StringType, T.BinaryType, T.DecimalType)) else F.lit(False)
     d = d.withColumn("_bucket", (-bucket if descending else bucket).cast("int"))
