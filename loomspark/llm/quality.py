@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_score
+from .common import map_batches, release, text_score
 from .kernels import U64, WORD, mix, pieces, span_hashes, string_parts, sums, words
 
 BITS = 16
@@ -272,7 +272,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[LabelMode
     share = min(1.0, sample / max(n, 1))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.octet_length("text")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     texts = [r.text for r in docs.where("octet_length(text) > 0").where(draw).select("text").limit(2 * sample).toLocalIterator()]
-    return model, train(texts, model)
+    weights = train(texts, model)
+    del texts
+    release()
+    return model, weights
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT, columns: list[str] | None = None) -> DataFrame:
