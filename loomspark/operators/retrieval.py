@@ -13,13 +13,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..workers import by_slices
 
 TERM = r"[\p{L}\p{N}]+"
 ASCII_TERM = "[a-z0-9]+"
@@ -66,24 +67,24 @@ def hashing_vectorize(docs: DataFrame, key: str, text: str = "text", dim: int =
 def hash_embed(docs: DataFrame, key: str, text: str = "text", dim: int = 32) -> DataFrame:
     """key, vector: the sum over words of the bytes of their md5 (byte i mod 16 at i), with length 1; zeros for no words or null.
 
-    A text stays in its row: each Arrow batch hashes its distinct words once, and nothing is shuffled.
+    A text stays in its row: a slice of an Arrow batch at a time hashes its distinct words once, and nothing is shuffled.
     """
     if dim < 4:
         raise ValueError("dim must be 4 at least")
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def embed(s: pd.Series) -> pd.Series:
+    def run(texts: list) -> pa.Array:
         numbers: dict[str, int] = {}
-        rows = [[numbers.setdefault(w, len(numbers)) for w in _PIECE.findall(t or "")] for t in s]
-        bytes_of = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in numbers), np.uint8).reshape(-1, 16).astype(np.int64)
+        rows = [[numbers.setdefault(w, len(numbers)) for w in _PIECE.findall(t or "")] for t in texts]
+        bytes_of = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in numbers), np.uint8).reshape(-1, 16)
         at = np.arange(dim) % 16
-        out = []
-        for r in rows:
-            v = (bytes_of[r].sum(0) if r else np.zeros(16))[at] / 255
-            out.append(v / max(1e-12, float(np.sqrt((v * v).sum()))))
-        return pd.Series(out)
-
-    return docs.select(key, embed(F.col(text)).alias("vector"))
+        out = np.zeros((len(rows), dim))
+        for v, r in zip(out, rows):
+            if r:
+                v[:] = bytes_of[r].sum(0, dtype=np.int64)[at] / 255
+            v /= max(1e-12, float(np.sqrt((v * v).sum())))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+
+    return docs.select(key, by_slices(run, "array<double>", F.col(text)).alias("vector"))
 
 
 def _tf(tokens: Column, term: str) -> Column:
