@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from ..workers import by_slices
 
 LETTER_START = r"\p{L}[\p{L}\p{Mn}\p{Nd}_'\-]*"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
@@ -73,15 +74,10 @@ def keep_punctuation(text) -> Column:
     return F.array_join(F.regexp_extract_all(_col(text), F.lit(MARKS), F.lit(0)), "")
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(s, form)])
-
-
 def normalize_unicode(text, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown form {form}")
-    return _nfc(_col(text), F.lit(form))
+    return by_slices(lambda texts: pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts], pa.string()), "string", _col(text))
 
 
 _MARKS = regex.compile(r"\p{Mn}+")
@@ -94,13 +90,8 @@ def plain(t: str) -> str:
     return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", t)))
 
 
-@F.pandas_udf(StringType())
-def _plain(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else plain(t))
-
-
 def strip_accents(text) -> Column:
-    return _plain(_col(text))
+    return by_slices(lambda texts: pa.array([None if t is None else plain(t) for t in texts], pa.string()), "string", _col(text))
 
 
 def slug(text) -> Column:
