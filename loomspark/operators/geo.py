@@ -69,10 +69,11 @@ def _around(lat: float, lon: float, k: int, places: tuple[np.ndarray, np.ndarray
         half *= 2
 
 
-def nearest(points: DataFrame, key: str, cities: DataFrame, city_key: str, k: int, in_km: bool) -> DataFrame | None:
+def nearest(points: DataFrame, key: str, cities: DataFrame, city_key: str, k: int, in_km: bool, keep: int | None = None, within_km: float | None = None) -> DataFrame | None:
     """key, rank, city_key, distance_km of the k nearest cities, by kilometres or by degrees; None if there are too many cities to hold.
 
-    Cities are counted first; up to ``MANY`` of them go to every worker, where each point looks at a band of latitudes.
+    Of a point's k the first ``keep`` within ``within_km`` come out, numbered anew: only these leave the worker and are sorted.
+    Points are spread by key, however few files they come in. Cities are counted first; up to ``MANY`` of them go to every worker, where each point looks at a band of latitudes.
     """
     if cities.count() > MANY:
         return None
@@ -91,12 +92,13 @@ def nearest(points: DataFrame, key: str, cities: DataFrame, city_key: str, k: in
                     if not in_km:
                         at = np.array([where[x] for x in found])
                         d = _km(lat, lon, lats[at], lons[at])
-                    out += [(i, n, x, float(y)) for n, (x, y) in enumerate(zip(found, d), 1)]
+                    near = [(x, float(y)) for x, y in zip(found, d) if within_km is None or y <= within_km][:keep]
+                    out += [(i, n, x, y) for n, (x, y) in enumerate(near, 1)]
             yield pd.DataFrame(out, columns=[key, "rank", city_key, "distance_km"])
 
     ready(points.sparkSession)
     kinds = dict(points.dtypes)[key], dict(cities.dtypes)[city_key]
-    return points.select(key, "lat", "lon").mapInPandas(run, f"`{key}` {kinds[0]}, rank int, `{city_key}` {kinds[1]}, distance_km double")
+    return points.select(key, "lat", "lon").repartition(F.col(key)).mapInPandas(run, f"`{key}` {kinds[0]}, rank int, `{city_key}` {kinds[1]}, distance_km double")
 
 
 @dataclass
@@ -128,10 +130,8 @@ class Geo:
         Without a country the max(4k, 20) cities nearest in degrees are candidates, and stay in that order; with one, cities rank by kilometres.
         """
         mine = self.cities if country is None else self.cities.where(F.upper("country_code") == country.strip().upper())
-        found = nearest(points, key, mine, city_key, max(4 * k, 20) if country is None else k, country is not None)
+        found = nearest(points, key, mine, city_key, max(4 * k, 20) if country is None else k, country is not None, k, within_km)
         if found is not None:
-            if within_km is not None:
-                found = found.where(F.col("distance_km") <= within_km)
             rank = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
             return found.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", city_key, "distance_km")
         if country is not None:
@@ -161,11 +161,15 @@ class Geo:
     def country_of(self, points: DataFrame, key: str) -> DataFrame:
         """key, iso2, distance_km, method: the nearest middle among countries whose cities' box holds the point, else among all; ties (to the micrometre) by code."""
         box = self.cities.where("country_code <> ''").groupBy(F.upper("country_code").alias("iso2")).agg(F.min("lat").alias("_a"), F.max("lat").alias("_b"), F.min("lon").alias("_c"), F.max("lon").alias("_d"))
-        # one row a country: a fixed size, whatever the data
-        c = self.centroids().select("iso2", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).join(box, "iso2", "left")
-        d = points.crossJoin(F.broadcast(c)).withColumn("_in", F.coalesce(F.col("lat").between(F.col("_a"), F.col("_b")) & F.col("lon").between(F.col("_c"), F.col("_d")), F.lit(False)))
-        d = d.withColumn("_s", F.struct((~F.col("_in")).alias("out"), F.round(haversine_km("lat", "lon", "_lat", "_lon"), 9).alias("km"), F.col("iso2").alias("iso2")))
-        best = d.groupBy(key).agg(F.min("_s").alias("s"))
+        # one row a country: a fixed size, whatever the data; all of them meet a point in its row, so nothing is multiplied
+        c = self.centroids().select("iso2", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).join(box, "iso2", "left").agg(F.collect_list(F.struct("iso2", "_lat", "_lon", "_a", "_b", "_c", "_d")).alias("_all"))
+
+        def seen(x: Column) -> Column:
+            inside = F.coalesce(F.col("lat").between(x["_a"], x["_b"]) & F.col("lon").between(x["_c"], x["_d"]), F.lit(False))
+            return F.struct((~inside).alias("out"), F.round(haversine_km("lat", "lon", x["_lat"], x["_lon"]), 9).alias("km"), x["iso2"].alias("iso2"))
+
+        d = points.select(key, "lat", "lon").repartition(F.col(key)).crossJoin(F.broadcast(c)).select(key, F.array_min(F.transform("_all", seen)).alias("_s"))
+        best = d.where("_s is not null").groupBy(key).agg(F.min("_s").alias("s"))
         return best.select(key, "s.iso2", F.col("s.km").alias("distance_km"), F.when(F.col("s.out"), "nearest_centroid").otherwise("bbox_then_nearest_centroid").alias("method"))
 
     def search_place(self, query: str, k: int = 5) -> DataFrame:
