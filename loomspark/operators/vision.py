@@ -96,28 +96,47 @@ def authenticity(signals: DataFrame) -> DataFrame:
     return d.withColumn("confidence", 0.45 + 0.5 * F.least(F.lit(1.0), F.abs(F.col("score") - 0.5) * 2))
 
 
-def palette(pixels: DataFrame, k: int = 5, iterations: int = 100, batch: int = 32, seed: int = 42) -> DataFrame:
-    """image_id, rank, r, g, b, hex, share: clusters of each image's (sampled) pixels. One image at a time in Arrow."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos", kind="stable")
-        x = np.clip(p[["r", "g", "b"]].to_numpy(float), 0, 255)
-        kk = 1 if len(x) == 1 else max(2, min(k, len(x)))
-        rng = np.random.default_rng(seed)
-        c = x[rng.permutation(len(x))[:kk]].copy()
-        count = np.zeros(len(c))
-        for _ in range(iterations if kk > 1 else 0):
-            for row in x[rng.integers(0, len(x), min(batch, len(x)))]:
-                i = int(((c - row) ** 2).sum(1).argmin())
-                count[i] += 1
-                c[i] += (row - c[i]) / count[i]
-        at = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-        rows = [(int((at == i).sum()), *np.floor(x[at == i].mean(0) + 0.5).astype(int)) for i in range(len(c)) if (at == i).any()]
-        rows.sort(key=lambda r: (-r[0], r[1:]))
-        return pd.DataFrame([(p["image_id"].iloc[0], n + 1, int(r), int(g), int(b), f"#{r:02X}{g:02X}{b:02X}", m / len(x)) for n, (m, r, g, b) in enumerate(rows)], columns=["image_id", "rank", "r", "g", "b", "hex", "share"])
+def _centres(x: np.ndarray, k: int, iterations: int, batch: int, seed: int) -> np.ndarray:
+    """Clusters of images of as many pixels each (images x pixels x 3): every image draws the same places, so all take a step at once."""
+    n, every = x.shape[1], np.arange(len(x))
+    kk = 1 if n == 1 else max(2, min(k, n))
+    rng = np.random.default_rng(seed)
+    c = x[:, rng.permutation(n)[:kk]].copy()
+    count = np.zeros(c.shape[:2])
+    for _ in range(iterations if kk > 1 else 0):
+        for j in rng.integers(0, n, min(batch, n)):
+            row = x[:, j]
+            i = ((c - row[:, None]) ** 2).sum(2).argmin(1)
+            count[every, i] += 1
+            c[every, i] += (row - c[every, i]) / count[every, i][:, None]
+    return c
+
+
+def palette(pixels: DataFrame, k: int = 5, iterations: int = 100, batch: int = 32, seed: int = 42, held: int = 100_000) -> DataFrame:
+    """image_id, rank, r, g, b, hex, share: clusters of each image's (sampled) pixels. Images of one size go together in Arrow, about ``held`` pixels at once."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            size = b["r"].map(len)
+            for n, same in b.groupby(size):
+                for first in range(0, len(same), max(1, held // n)):
+                    some = same.iloc[first : first + max(1, held // n)]
+                    x = np.clip(np.stack([np.stack(some[c].to_numpy()).astype(float) for c in "rgb"], 2), 0, 255)
+                    for image, px, c in zip(some["image_id"], x, _centres(x, k, iterations, batch, seed)):
+                        at = ((px[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+                        rows = [(int((at == i).sum()), *np.floor(px[at == i].mean(0) + 0.5).astype(int)) for i in range(len(c)) if (at == i).any()]
+                        rows.sort(key=lambda r: (-r[0], r[1:]))
+                        out += [(image, m + 1, int(r), int(g), int(u), f"#{r:02X}{g:02X}{u:02X}", many / n) for m, (many, r, g, u) in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["image_id", "rank", "r", "g", "b", "hex", "share"])
 
     kind = dict(pixels.dtypes)["image_id"]
-    return pixels.groupBy("image_id").applyInPandas(run, f"image_id {kind}, rank int, r int, g int, b int, hex string, share double")
+    whole = pixels.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[F.col(c).cast("double").alias(c) for c in "rgb"]))).alias("px"))
+    return whole.select("image_id", *[F.transform("px", _channel(c)).alias(c) for c in "rgb"]).mapInPandas(run, f"image_id {kind}, rank int, r int, g int, b int, hex string, share double")
+
+
+def _channel(c: str):
+    return lambda x: x[c]
 
 
 def analyze(pixels: DataFrame) -> DataFrame:
