@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..workers import by_slices
+from ..workers import by_slices, ready, release
 
 TERM = r"[\p{L}\p{N}]+"
 ASCII_TERM = "[a-z0-9]+"
@@ -32,6 +35,65 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", pattern: str = TE
     return docs.select(key, F.explode(T.lower_words(text, pattern)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+QUERY_TERMS = 1_000_000  # of a batch of queries that workers hold
+TOKENS, SUMS = 1 << 20, 1 << 20  # words and sums of documents and queries that a worker looks at together
+
+
+def row_counts(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Rows, codes of the distinct words in each and how often they occur there; the lengths of all rows; the words of the codes."""
+    length = pa.compute.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pair = np.sort(np.repeat(np.arange(len(tokens)) * size, length) + coded.indices.to_numpy())
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    row, code = np.divmod(pair[first], size)
+    return row, code, np.diff(first, append=len(pair)), length, coded.dictionary
+
+
+def short(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Keys and lists of words of rows that have few words together; a longer row comes alone."""
+    keys, tokens = batch.columns[:2]
+    end = np.cumsum(pa.compute.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(keys):
+        last = max(first + 1, int(np.searchsorted(end, (end[first - 1] if first else 0) + TOKENS, "right")))
+        yield keys[first:last], tokens[first:last]
+        first = last
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To six places, as Spark's round: half up, on the shortest decimal."""
+    values, at = np.unique(scores, return_inverse=True)
+    return np.array([float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in values.tolist()])[at]
+
+
+class Best:
+    """The k rows of best rounded score of each query, ties by key, of the rows seen so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.bar = k, np.full(queries, -np.inf)
+        self.found: tuple[np.ndarray, ...] | None = None  # query, rounded score, score, key
+
+    def meet(self, keys: pa.Array, sums: np.ndarray) -> None:
+        """sums: a row for each key, a column for each query; 0 where they share nothing."""
+        if len(sums) >= self.k:  # what is rounded to the k-th score is within half a millionth of it
+            self.bar = np.maximum(self.bar, np.partition(sums, -self.k, 0)[-self.k] - 2e-6)
+        row, q = np.nonzero((sums > 0) & (sums >= self.bar))
+        if not len(row):
+            return
+        s = sums[row, q]
+        new = (q, _rounded(s), s, np.array(keys.take(pa.array(row)).to_pylist()))
+        q, r, s, own = (np.concatenate(c) for c in zip(*([self.found] if self.found else []), new))
+        order = np.lexsort((own, -r, q))
+        q = q[order]
+        start = np.flatnonzero(np.diff(q, prepend=-1))
+        at = np.arange(len(q)) - np.repeat(start, np.diff(start, append=len(q)))
+        order, q, at = order[at < self.k], q[at < self.k], at[at < self.k]
+        self.found = q, r[order], s[order], own[order]
+        full = at == self.k - 1
+        self.bar[q[full]] = np.maximum(self.bar[q[full]], self.found[1][full] - 1e-6)
+
+
 @dataclass
 class TfidfVectorizer:
     """idf = ln((1 + N) / (1 + df)) + 1; tf = count / tokens in the vocabulary. The vocabulary is a DataFrame, whatever its size."""
@@ -115,10 +177,28 @@ def bm25_search(docs: DataFrame, key: str, query: str, k: int = 10, k1: float =
 
 
 def bm25_search_many(docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int = 10, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
-    """query_key, rank, key, score for a table of queries (query_key, text), through postings; documents that share no term are left out."""
+    """query_key, rank, key, score for a table of queries (query_key, text); documents that share no term are left out.
+
+    The queries' terms go to every worker, documents are read twice and stay in their rows: first for document frequencies and the
+    mean length, then for scores, of which a task leaves the k best of each query. Where queries have more than ``QUERY_TERMS`` terms in all,
+    or a key stands for several rows, postings joins do the same.
+    """
+    wanted = queries.select(query_key, F.explode(T.lower_words("text", TERM)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = wanted.take(QUERY_TERMS + 1)
+    many = _search_by_joins if len(asked) > QUERY_TERMS or not _one_row_each(docs, key) else _search_in_rows
+    scores = many(docs, key, wanted, asked, query_key, k, k1, b, text)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+
+
+def _one_row_each(docs: DataFrame, key: str) -> bool:
+    return docs.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def _search_by_joins(docs: DataFrame, key: str, wanted: DataFrame, asked: list, query_key: str, k: int, k1: float, b: float, text: str) -> DataFrame:
+    """query_key, key, score of all documents that share a term, for any number of queries."""
     length = docs.select(key, F.size(T.lower_words(F.coalesce(F.col(text), F.lit("")), TERM)).alias("dl"))
     n, average = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    wanted = queries.select(query_key, F.explode(T.lower_words("text", TERM)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
     # words of no query go before anything is counted or shuffled by document
     said = docs.select(key, F.explode(T.lower_words(text, TERM)).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     hits = said.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -126,9 +206,70 @@ def bm25_search_many(docs: DataFrame, key: str, queries: DataFrame, query_key: s
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (average or 1.0)))
     impact = hits.join(df, "term").join(length, key).select("term", key, (idf * weight).alias("w"))
-    scores = impact.join(wanted, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+    return impact.join(wanted, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
+
+
+def _search_in_rows(docs: DataFrame, key: str, wanted: DataFrame, asked: list, query_key: str, k: int, k1: float, b: float, text: str) -> DataFrame:
+    """query_key, key, score: of each task the k best documents of each query."""
+    ready(docs.sparkSession)
+    asked = sorted(asked, key=lambda r: r["term"])
+    names = list(dict.fromkeys(r[query_key] for r in asked))
+    at = {q: i for i, q in enumerate(names)}
+    terms = list(dict.fromkeys(r["term"] for r in asked))
+    of = np.array([at[r[query_key]] for r in asked], np.int64)
+    times = np.array([r["times"] for r in asked], float)
+    places = {t: i for i, t in enumerate(terms)}
+    start = np.searchsorted(np.array([places[r["term"]] for r in asked], np.int64), np.arange(len(terms) + 1))
+    kinds, query_kind = dict(docs.dtypes), wanted.schema[query_key].dataType
+    words = docs.select(key, T.lower_words(F.coalesce(F.col(text), F.lit("")), TERM).alias("words"))
+
+    def said(tokens: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, ...]:
+        """Rows, the terms of queries in them, how often; and the lengths of all rows."""
+        row, code, tf, length, own = row_counts(tokens)
+        term = pa.compute.index_in(own, known).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+        return row[term >= 0], term[term >= 0], tf[term >= 0], length
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each term in how many rows; then how many rows and words."""
+        total, known = np.zeros(len(terms) + 2, np.int64), pa.array(terms, pa.string())
+        for batch in batches:
+            for _, tokens in short(batch):
+                _, term, _, length = said(tokens, known)
+                total += np.append(np.bincount(term, minlength=len(terms)), [len(length), length.sum()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+        release()
+
+    total = {r["at"]: r["n"] for r in words.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    df = np.array([total.get(i, 0) for i in range(len(terms))], float)
+    n = total.get(len(terms), 0)
+    average = (total[len(terms) + 1] / n if n else 0) or 1.0
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, known, kind = Best(len(names), k), pa.array(terms, pa.string()), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for keys, tokens in short(batch):
+                row, term, tf, length = said(tokens, known)
+                w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))
+                each = start[term + 1] - start[term]
+                cost = np.cumsum(np.maximum(np.bincount(row, each, len(keys)), len(names)))
+                first = 0
+                while first < len(keys):  # as many rows at once as have few sums; one at least
+                    end = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + SUMS, "right")))
+                    i, j = np.searchsorted(row, [first, end])
+                    several = each[i:j]
+                    pair = np.repeat(start[term[i:j]] - np.cumsum(several) + several, several) + np.arange(several.sum())
+                    sums = np.bincount(np.repeat(row[i:j] - first, several) * len(names) + of[pair], np.repeat(w[i:j], several) * times[pair], (end - first) * len(names))
+                    best.meet(keys[first:end], sums.reshape(end - first, len(names)))
+                    first = end
+        if best.found and len(best.found[0]):
+            q, _, s, own = best.found
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], to_arrow_type(query_kind)), pa.array(own.tolist(), kind), pa.array(s)], names=[query_key, key, "score"])
+        release()
+
+    found = words.where(F.col(key).isNotNull()).mapInArrow(score, f"`{query_key}` {query_kind.simpleString()}, `{key}` {kinds[key]}, score double")
+    return found.withColumn("score", F.round("score", 6))
 
 
 def chunk_words(docs: DataFrame, key: str, text: str = "text", size: int = 120, overlap: int = 20) -> DataFrame:
