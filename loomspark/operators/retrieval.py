@@ -36,7 +36,7 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", pattern: str = TE
 
 
 QUERY_TERMS = 1_000_000  # of a batch of queries that workers hold
-TOKENS, SUMS = 1 << 20, 1 << 20  # words and sums of documents and queries that a worker looks at together
+TOKENS, SUMS, ROWS = 1 << 20, 1 << 20, 1 << 16  # words, and sums of documents and queries, that a worker looks at together; rows that leave it together
 
 
 def row_counts(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -94,6 +94,40 @@ class Best:
         self.bar[q[full]] = np.maximum(self.bar[q[full]], self.found[1][full] - 1e-6)
 
 
+def counted(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, term, tf, total (words of the row): texts are counted in their rows, without a shuffle. Rows of no words give none."""
+    ready(docs.sparkSession)
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, tokens in short(batch):
+                row, code, tf, length, own = row_counts(tokens)
+                for i in range(0, len(row), ROWS):  # few at a time leave the worker
+                    r = row[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)), own.take(pa.array(code[i : i + ROWS])), pa.array(tf[i : i + ROWS]), pa.array(length[r])], names=[key, "term", "tf", "total"])
+        release()
+
+    return docs.select(key, T.lower_words(text, TERM).alias("words")).mapInArrow(run, f"`{key}` {kind}, term string, tf long, total long")
+
+
+def document_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """term, df. Rows of one text each are counted in their tasks first, so what is shuffled is the words of tasks, not of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, tokens in short(batch):
+                _, code, _, _, own = row_counts(tokens)
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.bincount(code, minlength=len(own)))], names=["term", "n"])
+        release()
+
+    if not _one_row_each(docs, key):
+        return term_counts(docs, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ready(docs.sparkSession)
+    words = docs.select(F.lit(0).alias("key"), T.lower_words(text, TERM).alias("words"))
+    return words.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 @dataclass
 class TfidfVectorizer:
     """idf = ln((1 + N) / (1 + df)) + 1; tf = count / tokens in the vocabulary. The vocabulary is a DataFrame, whatever its size."""
@@ -102,16 +136,24 @@ class TfidfVectorizer:
 
     def fit(self, docs: DataFrame, key: str, text: str = "text"):
         n = docs.count()
-        df = term_counts(docs, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = document_frequencies(docs, key, text)
         self.vocabulary = df.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+        self.__dict__["_fitted"] = (docs, key, text, self.vocabulary)
         return self
 
+    def _knows(self, docs: DataFrame, key: str, text: str) -> bool:
+        """Whether this is the table that the vocabulary is of: it then has all of its words."""
+        of = self.__dict__.get("_fitted")
+        return of is not None and of[3] is self.vocabulary and of[1:3] == (key, text) and of[0].sameSemantics(docs)
+
     def transform(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """key, term, weight."""
+        """key, term, weight. Words are shuffled once, to meet the vocabulary; once more by key if some may not be in it, or a key stands for several rows."""
         if self.vocabulary is None:
             raise RuntimeError("fit first")
-        known = term_counts(docs, key, text).join(self.vocabulary, "term")
-        total = F.sum("tf").over(Window.partitionBy(key))
+        single = _one_row_each(docs, key)
+        words = counted(docs, key, text) if single else term_counts(docs, key, text)
+        known = words.join(self.vocabulary, "term")
+        total = F.col("total") if single and self._knows(docs, key, text) else F.sum("tf").over(Window.partitionBy(key))
         return known.select(key, "term", (F.col("tf") / total * F.col("idf")).alias("weight"))
 
 
